@@ -1,0 +1,5 @@
+"""No streaming operators: the feature set has no watermark, window or stateful stream.
+
+The provenance log (``tallycell.operators.provenance.append_steps``) is append-only, so a
+``foreachBatch`` writer can call it unchanged.
+"""
