@@ -62,12 +62,20 @@ def log_choose(n: Column | str, k: Column | str) -> Column:
     return log_factorial(n) - log_factorial(k) - log_factorial(n - k)
 
 
+def _reach(centre: Column, k: Column, top: Column) -> Column:
+    """Last term of an upper tail worth adding: 40 standard deviations past the mean or past ``k``."""
+    return F.least(top, (F.greatest(k.cast("double"), centre) + 40.0 * F.sqrt(centre) + 50.0).cast("bigint"))
+
+
 def binomial_upper_tail(k: Column, n: Column, p: Column) -> Column:
-    """``P(X >= k)`` for Binomial(n, p), summed term by term in log space."""
+    """``P(X >= k)`` for Binomial(n, p), summed in log space over the terms that carry weight."""
+    mean = n * p
+    first = F.greatest(k, (mean - 40.0 * F.sqrt(mean) - 50.0).cast("bigint"))
+
     def term(i: Column) -> Column:
         return F.exp(log_choose(n, i) + i * F.log(p) + (n - i) * F.log1p(-p))
 
-    tail = F.aggregate(F.sequence(k, n), F.lit(0.0), lambda acc, i: acc + term(i))
+    tail = F.aggregate(F.sequence(first, _reach(mean, first, n)), F.lit(0.0), lambda acc, i: acc + term(i))
     return (F.when(k <= 0, F.lit(1.0)).when(p <= 0, F.lit(0.0)).when(p >= 1, F.lit(1.0))
             .otherwise(F.least(F.lit(1.0), tail)))
 
@@ -75,13 +83,15 @@ def binomial_upper_tail(k: Column, n: Column, p: Column) -> Column:
 def hypergeometric_upper_tail(k: Column, drawn: Column, good: Column, total: Column) -> Column:
     """``P(X >= k)`` when ``drawn`` of ``total`` are taken and ``good`` of them are marked."""
     denom = log_choose(total, drawn)
+    mean = drawn * good / total
+    top = F.least(drawn, good)
+    first = F.greatest(k, drawn + good - total, (mean - 40.0 * F.sqrt(mean) - 50.0).cast("bigint"))
 
     def term(i: Column) -> Column:
         return F.exp(log_choose(good, i) + log_choose(total - good, drawn - i) - denom)
 
-    tail = F.aggregate(F.sequence(k, F.least(drawn, good)), F.lit(0.0),
-                       lambda acc, i: acc + term(i))
-    return F.when(k <= 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), tail))
+    tail = F.aggregate(F.sequence(first, _reach(mean, first, top)), F.lit(0.0), lambda acc, i: acc + term(i))
+    return F.when(k <= 0, F.lit(1.0)).when(k > top, F.lit(0.0)).otherwise(F.least(F.lit(1.0), tail))
 
 
 def stars(p: Column | str) -> Column:
