@@ -50,7 +50,7 @@ def _(d):
     return six(graph.resolution_sweep(d.embedding, edges(d), [0.5, 1.0], n_boot=1))
 
 
-_LISI = """SELECT src AS cell_id, sum(n) * sum(n) / sum(n * n) AS lisi FROM (SELECT src, {} AS level,
+_LISI = """SELECT src AS cell_id, sum(n) * sum(n) / sum(n * n) AS lisi FROM (SELECT src, emb.{} AS level,
     count(*)::DOUBLE AS n FROM knn JOIN emb ON dst = cell_id GROUP BY 1, 2) GROUP BY 1"""
 
 
@@ -85,7 +85,7 @@ def _(d):
 
 # Dense ranks over every cell, zeros included: a brute-force twin of the sparse ranks.
 SIZES = "SELECT label, count(*) AS ng, sum(count(*)) OVER () AS na FROM obs GROUP BY 1"
-DENSE = """SELECT gene_id, cell_id, label, coalesce(x, 0.0) AS x FROM var, obs LEFT JOIN ln USING (gene_id, cell_id)"""
+DENSE = """SELECT gene_id, cell_id, label, coalesce(x, 0.0) AS x FROM (SELECT * FROM var, obs) LEFT JOIN ln USING (gene_id, cell_id)"""
 RANKED = """SELECT *, rank() OVER (PARTITION BY gene_id ORDER BY x)
       + (count(*) OVER (PARTITION BY gene_id, x) - 1) / 2.0::DOUBLE AS rk FROM dense"""
 PER = """SELECT gene_id, label, sum(rk) AS rs, sum(x) AS s, sum(x * x) AS ss, sum((x > 0)::INT) AS nnz FROM ranked GROUP BY 1, 2"""

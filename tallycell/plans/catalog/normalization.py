@@ -74,8 +74,9 @@ def _(d):
 
 
 _PEAR = """SELECT gene_id, coalesce(n, 0) AS n, n_all, g * total / grand AS mu
-    FROM (SELECT gene_id, sum(n)::DOUBLE AS g FROM counts GROUP BY 1), tot, (SELECT sum(n)::DOUBLE AS grand FROM counts),
-    size LEFT JOIN counts USING (gene_id, cell_id)"""
+    FROM (SELECT * FROM (SELECT gene_id, sum(n)::DOUBLE AS g FROM counts GROUP BY 1), tot,
+      (SELECT sum(n)::DOUBLE AS grand FROM counts), size)
+    LEFT JOIN counts USING (gene_id, cell_id)"""
 
 
 @query("norm_hvg_pearson_residuals", sql(
