@@ -224,7 +224,7 @@ def connectivities(edges: DataFrame) -> DataFrame:
     return both.groupBy("src", "dst").agg((a + b - a * b).alias("weight"))
 
 
-def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 8, levels: int = 4,
+def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 6, levels: int = 3,
                 seed: int = 0) -> DataFrame:
     """Modularity communities of a symmetric weighted graph: ``(cell_id, cluster)``, largest first.
 
@@ -240,7 +240,7 @@ def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 8, leve
             F.sum("w").alias("deg"),
             F.sum(F.when(F.col("src") == F.col("dst"), F.col("w")).otherwise(0.0)).alias("loop"))
         state = checkpointed(degree.withColumn("comm", F.col("node")))
-        n_nodes, moved_any, idle = state.count(), False, 0
+        n_nodes, moved_any = state.count(), False
         for step in range(rounds):
             totals = state.groupBy("comm").agg(F.sum("deg").alias("tot"))
             links = (graph.where(F.col("src") != F.col("dst"))
@@ -263,12 +263,13 @@ def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 8, leve
             state = checkpointed(state.join(best, "node").select(
                 "node", "deg", "loop", F.when(go, F.col("best")).otherwise(F.col("comm")).alias("comm"),
                 F.when(go, F.lit(1)).otherwise(0).alias("moved")))
-            n_moved = state.agg(F.sum("moved")).first()[0]
-            state = state.drop("moved")
-            moved_any = moved_any or n_moved > 0
-            idle = idle + 1 if n_moved <= n_nodes * 0.001 else 0
-            if idle >= 2:
-                break
+            state, before = state.drop("moved"), state
+            if step % 2:
+                # Both halves have had their turn: stop when hardly anything moved in this one.
+                n_moved = before.agg(F.sum("moved")).first()[0]
+                moved_any = moved_any or n_moved > 0
+                if n_moved <= n_nodes * 0.001:
+                    break
         link = state.select(F.col("node"), F.col("comm"))
         member = link.toDF("cell_id", "c") if member is None else (
             member.join(link.toDF("c", "d"), "c").select("cell_id", F.col("d").alias("c")))
@@ -284,7 +285,8 @@ def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 8, leve
 
 
 def cluster_column(resolution: float) -> str:
-    return f"leiden_res{resolution:g}"
+    """Column name of a clustering; the decimal point becomes an underscore."""
+    return f"leiden_res{resolution:g}".replace(".", "_")
 
 
 def cluster_warnings(labels: DataFrame, min_size: int = 20, max_clusters: int = 10) -> DataFrame:
@@ -318,7 +320,8 @@ def silhouette(labels: DataFrame, embedding: DataFrame) -> float:
 
 
 def resolution_sweep(embedding: DataFrame, edges: DataFrame, resolutions: Sequence[float],
-                     n_boot: int = 3, share: float = 0.8, seed: int = 0) -> DataFrame:
+                     n_boot: int = 3, share: float = 0.8, seed: int = 0, rounds: int = 6,
+                     levels: int = 3) -> DataFrame:
     """Compare resolutions by stability, separation and tiny clusters; one row per resolution.
 
     Stability is the adjusted Rand index between the clustering and reclusterings of ``share`` of the
@@ -327,7 +330,7 @@ def resolution_sweep(embedding: DataFrame, edges: DataFrame, resolutions: Sequen
     rows = []
     edges = edges.persist(StorageLevel.MEMORY_AND_DISK)
     for res in resolutions:
-        full = communities(edges, res, seed=seed)
+        full = communities(edges, res, rounds, levels, seed)
         w = cluster_warnings(full).first()
         sil = silhouette(full, embedding) if w["n_clusters"] > 1 else 0.0
         aris = []
@@ -336,7 +339,7 @@ def resolution_sweep(embedding: DataFrame, edges: DataFrame, resolutions: Sequen
                                      .cast("bigint") < int(share * 2 ** 32)).select("cell_id")
             sub = (edges.join(chosen.withColumnRenamed("cell_id", "src"), "src", "left_semi")
                    .join(chosen.withColumnRenamed("cell_id", "dst"), "dst", "left_semi"))
-            again = communities(sub, res, seed=seed).withColumnRenamed("cluster", "again")
+            again = communities(sub, res, rounds, levels, seed).withColumnRenamed("cluster", "again")
             aris.append(adjusted_rand(full.join(again, "cell_id"), "cluster", "again").first()[0])
         ari = float(np.mean(aris)) if aris else 0.0
         tiny = w["n_tiny"]

@@ -42,12 +42,12 @@ def _(d):
 
 @query("graph_communities")
 def _(d):
-    return graph.communities(edges(d), 1.0)
+    return graph.communities(edges(d), 1.0, rounds=4, levels=2)
 
 
 @query("graph_resolution_sweep")
 def _(d):
-    return six(graph.resolution_sweep(d.embedding, edges(d), [0.5, 1.0], n_boot=1))
+    return six(graph.resolution_sweep(d.embedding, edges(d), [1.0], n_boot=1, rounds=2, levels=2))
 
 
 _LISI = """SELECT src AS cell_id, sum(n) * sum(n) / sum(n * n) AS lisi FROM (SELECT src, emb.{} AS level,
