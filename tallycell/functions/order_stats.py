@@ -18,12 +18,16 @@ BUCKETS = 32
 
 
 def attach(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join a grouped summary back; with no keys the summary is one row, read as scalar subqueries."""
+    """Join a grouped summary back.
+
+    With no keys the summary is one row of scalars (or a short array of cut points); it is read once and
+    put into the plan as literals, which keeps long compositions from repeating it as nested subqueries.
+    """
     if keys:
         return df.join(small, list(keys), how)
-    row = small.select(F.struct(*[F.col(c) for c in small.columns]).alias("s")).scalar()
-    return (df.withColumn("_s", row)
-            .select(*df.columns, *[F.col(f"_s.{c}").alias(c) for c in small.columns]))
+    row = small.first()
+    values = [row[i] if row is not None else None for i in range(len(small.columns))]
+    return df.select("*", *[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(values, small.schema.fields)])
 
 
 def bucketed(df: DataFrame, keys: Sequence[str], value: str, weight: str,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallycell.functions.order_stats import attach, quantiles, top_k
 from tallycell.knowledge import fixed
+from tallycell.session import checkpointed
 
 
 def lineage_profile(means: DataFrame, group: str = "label", n_top: int = 3) -> DataFrame:
@@ -183,8 +184,8 @@ def contamination_audit(lognorm: DataFrame, counts: DataFrame, obs: DataFrame, v
     from tallycell.operators.score import every_cell
     usable = present_sets(gene_sets, var, 3)
     excess = codetection_excess(expresses(detected_markers(counts, usable), scores), obs, pairs, label)
-    full = every_cell(scores, obs, weights)
-    foreign = foreign_programs(full, obs, native, label)
+    full = checkpointed(every_cell(scores, obs, weights))
+    foreign = checkpointed(foreign_programs(full, obs, native, label))
     worst = F.min_by("set_name", F.struct(-F.round("fraction", 3), F.col("set_name")))
     dominant = foreign.groupBy(label).agg(F.max("fraction").alias("max_foreign"), worst.alias("dominant"))
     values = (full.join(obs.select("cell_id", label), "cell_id")

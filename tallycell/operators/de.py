@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tallycell.functions.numeric import two_sided_normal_p
 from tallycell.functions.order_stats import adjust_bh, average_ranks, quantiles, top_k
 from tallycell.operators.markers import rank_sum_test
+from tallycell.session import checkpointed
 
 
 class Pseudobulk(NamedTuple):
@@ -55,7 +56,8 @@ def resolve_design(bulk: Pseudobulk, sample_info: DataFrame, condition: str, arm
     """
     covariates = [c for c in covariates if c != condition]
     info = sample_info.select("sample", F.col(condition).alias("arm"), *covariates)
-    units = bulk.units.join(info, "sample").where(F.col("arm").isin(arm_a, arm_b))
+    bulk = Pseudobulk(checkpointed(bulk.units), bulk.dropped, checkpointed(bulk.counts))
+    units = checkpointed(bulk.units.join(info, "sample").where(F.col("arm").isin(arm_a, arm_b)))
     enough = [F.count_if(F.col("arm") == a) for a in (arm_a, arm_b)]
 
     def tally(df: DataFrame) -> DataFrame:
@@ -66,7 +68,7 @@ def resolve_design(bulk: Pseudobulk, sample_info: DataFrame, condition: str, arm
     kept = units
     for c in covariates:
         both = kept.groupBy("label", c).agg(F.count_distinct("arm").alias("k")).where(F.col("k") == 2)
-        kept = kept.join(both.select("label", c), ["label", c], "left_semi")
+        kept = checkpointed(kept.join(both.select("label", c), ["label", c], "left_semi"))
     after = tally(kept)
     labels = bulk.units.select("label").distinct()
     early = labels.join(start, "label", "left").fillna(0, ["n_a", "n_b"]).where(few).select(
@@ -99,46 +101,61 @@ def size_factors(counts: DataFrame, units: DataFrame) -> DataFrame:
         "label", "sample", F.exp("ratio_q50").alias("size_factor"))
 
 
-def _irls(y: np.ndarray, x: np.ndarray, offset: np.ndarray, alpha: float, rounds: int = 60):
-    """Negative-binomial log-link fit with a light ridge; coefficients and their covariance."""
-    beta = np.zeros(x.shape[1])
-    beta[0] = np.log(max(y.mean(), 0.1)) - offset.mean()
-    ridge = np.eye(x.shape[1]) * 1e-6
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """Vectorised ln(gamma) by Stirling's series after a shift by eight."""
+    shift = np.log(x)
+    for i in range(1, 8):
+        shift = shift + np.log(x + i)
+    y = x + 8
+    inv = 1 / y
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + inv / 12 - inv ** 3 / 360 + inv ** 5 / 1260 - shift
+
+
+def _irls(y: np.ndarray, x: np.ndarray, offset: np.ndarray, alpha: np.ndarray, rounds: int = 60):
+    """Negative-binomial log-link fits with a light ridge for many genes at once.
+
+    ``y`` is genes by units; returns coefficients, their covariances and fitted means.
+    """
+    p = x.shape[1]
+    ridge, a = np.eye(p) * 1e-6, alpha[:, None]
+    beta = np.zeros((len(y), p))
+    beta[:, 0] = np.log(np.maximum(y.mean(axis=1), 0.1)) - offset.mean()
+
+    def state(beta):
+        mu = np.maximum(np.exp(np.clip(beta @ x.T + offset, -30, 30)), 1e-6)
+        w = mu / (1 + a * mu)
+        return mu, w, np.einsum("gu,ui,uj->gij", w, x, x) + ridge
+
     for _ in range(rounds):
-        mu = np.maximum(np.exp(np.clip(x @ beta + offset, -30, 30)), 1e-6)
-        w = mu / (1 + alpha * mu)
-        z = x @ beta + (y - mu) / mu
-        new = np.linalg.solve(x.T @ (w[:, None] * x) + ridge, x.T @ (w * z))
+        mu, w, xtx = state(beta)
+        z = beta @ x.T + (y - mu) / mu
+        new = np.linalg.solve(xtx, np.einsum("gu,ui->gi", w * z, x)[..., None])[..., 0]
         done = np.abs(new - beta).max() < 1e-8
         beta = new
         if done:
             break
-    mu = np.maximum(np.exp(np.clip(x @ beta + offset, -30, 30)), 1e-6)
-    w = mu / (1 + alpha * mu)
-    return beta, np.linalg.inv(x.T @ (w[:, None] * x) + ridge), mu
-
+    mu, _, xtx = state(beta)
+    return beta, np.linalg.inv(xtx), mu
 
-def _profile_dispersion(y, x, mu, prior: tuple[float, float] | None) -> float:
-    """Dispersion that maximises the adjusted profile likelihood on a log grid, refined once."""
-    from math import lgamma
 
-    def score(log_a: float) -> float:
-        a = np.exp(log_a)
+def _profile_dispersion(y, x, mu, centre=None, spread=None) -> np.ndarray:
+    """Dispersions that maximise the adjusted profile likelihood, on a log grid refined twice."""
+    def score(log_a: np.ndarray) -> np.ndarray:
+        a = np.exp(log_a)[:, None]
         k = 1 / a
-        ll = sum(lgamma(v + k) - lgamma(k) for v in y) + float((-k * np.log1p(a * mu) + y * np.log(a * mu / (1 + a * mu))).sum())
+        ll = (_log_gamma(y + k) - _log_gamma(k) - k * np.log1p(a * mu) + y * np.log(a * mu / (1 + a * mu))).sum(axis=1)
         w = mu / (1 + a * mu)
-        ll -= 0.5 * np.linalg.slogdet(x.T @ (w[:, None] * x))[1]
-        if prior is not None:
-            ll -= (log_a - prior[0]) ** 2 / (2 * prior[1])
-        return ll
+        ll -= 0.5 * np.linalg.slogdet(np.einsum("gu,ui,uj->gij", w, x, x) + np.eye(x.shape[1]) * 1e-9)[1]
+        return ll if centre is None else ll - (log_a - centre) ** 2 / (2 * spread)
 
-    lo, hi = np.log(1e-8), np.log(10.0)
+    lo, hi = np.full(len(y), np.log(1e-8)), np.full(len(y), np.log(10.0))
+    best = lo
     for _ in range(3):
-        grid = np.linspace(lo, hi, 21)
-        best = grid[int(np.argmax([score(g) for g in grid]))]
-        step = grid[1] - grid[0]
+        step = (hi - lo) / 20
+        values = np.stack([score(lo + i * step) for i in range(21)])
+        best = lo + values.argmax(axis=0) * step
         lo, hi = best - step, best + step
-    return float(np.exp(best))
+    return np.exp(best)
 
 
 def _design_matrix(frame: pd.DataFrame, arm_a: str, covariates: Sequence[str]) -> np.ndarray:
@@ -158,7 +175,7 @@ def nb_test(counts: DataFrame, design: Design, factors: DataFrame, arm_a: str,
     gives gene-wise dispersions; their trend ``a1 / mean + a0`` comes from per-label sums; pass two shrinks
     each dispersion towards the trend and tests.  Genes without a finite p are left out.
     """
-    units = design.units.join(factors, ["label", "sample"])
+    units = checkpointed(design.units.join(factors, ["label", "sample"]))
     # A sample without counts for a gene is a zero, so units are carried along with each gene.
     unit_rows = units.groupBy("label").agg(F.collect_list(F.struct(
         "sample", "arm", "size_factor", *covariates)).alias("units"))
@@ -168,7 +185,9 @@ def nb_test(counts: DataFrame, design: Design, factors: DataFrame, arm_a: str,
                 .join(unit_rows, "label"))
     y = F.transform("units", lambda u: F.coalesce(F.element_at("n", u["sample"]), F.lit(0)).cast("double"))
     kind = dict(counts.dtypes)["gene_id"]
-    ready = per_gene.select("label", "gene_id", y.alias("y"), F.to_json("units").alias("design"))
+    tasks = counts.sparkSession.sparkContext.defaultParallelism * 4
+    ready = per_gene.select("label", "gene_id", y.alias("y"), F.to_json("units").alias("design")).repartition(
+        tasks, "label", "gene_id")
 
     def frame_of(text: str) -> tuple[np.ndarray, np.ndarray]:
         f = pd.DataFrame(json.loads(text))
@@ -176,35 +195,32 @@ def nb_test(counts: DataFrame, design: Design, factors: DataFrame, arm_a: str,
         return _design_matrix(f, arm_a, covariates), np.log(f["size_factor"].to_numpy(float))
 
     def fits(batches, final: bool):
-        cache: dict[str, tuple] = {}
+        """Fit all genes of a batch that share a design together."""
         for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                if row.design not in cache:
-                    cache[row.design] = frame_of(row.design)
-                x, off = cache[row.design]
-                v = np.asarray(row.y, dtype=float)
-                base = float((v / np.exp(off)).mean())
+            for text, part in pdf.groupby("design", sort=False):
+                x, off = frame_of(text)
+                v = np.vstack(part["y"].to_numpy()).astype(float)
+                norm = v / np.exp(off)
+                base = norm.mean(axis=1)
                 if not final:
-                    norm = v / np.exp(off)
-                    rough = max((norm.var(ddof=1) - base) / max(base * base, 1e-12), 1e-8)
-                    _, _, mu = _irls(v, x, off, min(rough, 10.0))
-                    out.append((row.label, row.gene_id, row.y, row.design, base, _profile_dispersion(v, x, mu, None)))
+                    rough = (norm.var(axis=1, ddof=1) - base) / np.maximum(base * base, 1e-12)
+                    _, _, mu = _irls(v, x, off, np.clip(rough, 1e-8, 10.0))
+                    yield part.assign(base_mean=base, disp=_profile_dispersion(v, x, mu))[
+                        ["label", "gene_id", "y", "design", "base_mean", "disp"]]
                     continue
-                target = row.a1 / max(base, 1e-12) + row.a0
-                _, _, mu = _irls(v, x, off, row.disp)
-                alpha = _profile_dispersion(v, x, mu, (np.log(target), max(row.spread, 0.25)))
-                if np.log(row.disp) > np.log(target) + 2 * np.sqrt(max(row.spread, 0.25)):
-                    alpha = row.disp
-                beta, cov, _ = _irls(v, x, off, alpha)
-                lfc, se = beta[-1] / np.log(2), np.sqrt(cov[-1, -1]) / np.log(2)
-                out.append((row.label, row.gene_id, base, lfc, se, lfc / se if se > 0 else None))
-            names = (["label", "gene_id", "y", "design", "base_mean", "disp"] if not final
-                     else ["label", "gene_id", "base_mean", "lfc", "lfc_se", "stat"])
-            yield pd.DataFrame(out, columns=names)
+                disp, wide = part["disp"].to_numpy(), np.maximum(part["spread"].to_numpy(), 0.25)
+                target = np.log(part["a1"].to_numpy() / np.maximum(base, 1e-12) + part["a0"].to_numpy())
+                _, _, mu = _irls(v, x, off, disp)
+                alpha = _profile_dispersion(v, x, mu, target, wide)
+                outlier = np.log(disp) > target + 2 * np.sqrt(wide)
+                beta, cov, _ = _irls(v, x, off, np.where(outlier, disp, alpha))
+                lfc, se = beta[:, -1] / np.log(2), np.sqrt(cov[:, -1, -1]) / np.log(2)
+                yield pd.DataFrame({"label": part["label"].to_numpy(), "gene_id": part["gene_id"].to_numpy(),
+                                    "base_mean": base, "lfc": lfc, "lfc_se": se, "stat": lfc / se})
 
     first = ready.mapInPandas(lambda b: fits(b, False),
-                              f"label string, gene_id {kind}, y array<double>, design string, base_mean double, disp double").persist()
+                              f"label string, gene_id {kind}, y array<double>, design string, base_mean double, disp double")
+    first = checkpointed(first)
     inv = 1.0 / F.greatest("base_mean", F.lit(1e-12))
     ok = first.where((F.col("disp") > 1e-7) & (F.col("disp") < 9.9))
     slope = F.covar_pop("disp", inv) / F.var_pop(inv)
@@ -219,6 +235,7 @@ def nb_test(counts: DataFrame, design: Design, factors: DataFrame, arm_a: str,
         "label", F.pow(F.col("r_q50") * 1.4826, F.lit(2.0)).alias("spread"))
     second = first.join(trend, "label").join(dev, "label").mapInPandas(
         lambda b: fits(b, True), f"label string, gene_id {kind}, base_mean double, lfc double, lfc_se double, stat double")
+    second = checkpointed(second)
     tested = second.where("stat IS NOT NULL AND NOT isnan(stat)").withColumn("pval", two_sided_normal_p("stat"))
     return adjust_bh(tested, ["label"], "pval", "padj").where("padj IS NOT NULL")
 

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallycell.functions.numeric import hypergeometric_upper_tail
-from tallycell.functions.order_stats import adjust_bh, attach, cumulative, top_k
+from tallycell.functions.order_stats import adjust_bh, cumulative, top_k
+from tallycell.session import checkpointed
 
 
 def clean_term(c: Column) -> Column:
@@ -52,7 +53,7 @@ def over_representation(significant: DataFrame, gene_sets: DataFrame, background
     total = F.greatest(F.lit(background).cast("bigint"), n + m - k)
     p = hypergeometric_upper_tail(k, n, m, total)
     fold = (k / n) / (m / F.lit(float(background)))
-    out = adjust_bh(hits.withColumn("pval", p).withColumn("fold", fold), by, "pval", "padj")
+    out = adjust_bh(checkpointed(hits.withColumn("pval", p).withColumn("fold", fold)), by, "pval", "padj")
     if top_n is None:
         return out
     return top_k(out, by, [F.round("padj", 12), F.round("pval", 12), F.col("set_name")], top_n)
@@ -112,8 +113,8 @@ def preranked_enrichment(ranked: DataFrame, gene_sets: DataFrame, n_perm: int =
     each permuted running sum costs the size of the set, and permutations spread over the cluster.
     """
     keys = list(keys)
-    pos = _positions(ranked, keys).persist()
-    obs = observed_enrichment(ranked, gene_sets, keys, min_size, max_size).persist()
+    pos = checkpointed(_positions(ranked, keys))
+    obs = checkpointed(observed_enrichment(ranked, gene_sets, keys, min_size, max_size))
     draws = obs.select(*keys, "set_name", "n_hits", F.explode(F.sequence(F.lit(1), F.lit(n_perm))).alias("perm"))
     drawn = draws.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n_hits").cast("int"))))
     sizes = pos.groupBy(*keys).agg(F.max("n_ranked").alias("n"))
@@ -137,7 +138,7 @@ def preranked_enrichment(ranked: DataFrame, gene_sets: DataFrame, n_perm: int =
         F.count_if(same).alias("n_same"))
     scored = out.select(*keys, "set_name", "n_hits", "es", (es / F.col("scale")).alias("nes"),
                         ((F.col("beyond") + 1) / (F.col("n_same") + 1)).alias("pval"))
-    return adjust_bh(scored, keys, "pval", "fdr")
+    return adjust_bh(checkpointed(scored), keys, "pval", "fdr")
 
 
 def regulator_activity(tested: DataFrame, regulons: DataFrame, stat: str = "score",

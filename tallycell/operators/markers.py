@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tallycell.functions.numeric import ratio, two_sided_normal_p
 from tallycell.functions.order_stats import adjust_bh, top_k
 from tallycell.functions.tails import student_two_sided_p
+from tallycell.session import checkpointed
 
 # Log-normalised values lie between 0 and about 12; a slice is 1/32 wide.
 SLICES_PER_UNIT = 32
@@ -82,7 +83,7 @@ def rank_sum_test(lognorm: DataFrame, cells: DataFrame, var: DataFrame, group: s
     n, n_g, n0 = F.col("n_all"), F.col("n_g"), F.col("n_all") - F.col("nnz_all")
     total = F.col("rsum") + n0 * F.col("nnz") + (n_g - F.col("nnz")) * (n0 + 1) / 2
     z = (total - n_g * (n + 1) / 2) / F.sqrt(n_g * (n - n_g) * (n + 1) / 12.0)
-    tested = full.where(n > n_g).select(*strata, group, "gene_id", z.alias("score"), *_effects())
+    tested = checkpointed(full.where(n > n_g).select(*strata, group, "gene_id", z.alias("score"), *_effects()))
     return adjust_bh(tested.withColumn("pval", two_sided_normal_p("score")), [*strata, group], "pval", "padj")
 
 
@@ -104,6 +105,7 @@ def t_test(lognorm: DataFrame, cells: DataFrame, var: DataFrame, group: str = "l
         group, "gene_id", ratio(mean_g - mean_r, F.sqrt(a + b)).alias("score"),
         ratio((a + b) * (a + b), a * a / (n_g - 1) + b * b / (m_r - 1)).alias("dof"), *_effects())
     p = F.coalesce(student_two_sided_p(F.col("score"), F.col("dof")), F.lit(1.0))
+    stats = checkpointed(stats)
     return adjust_bh(stats.withColumn("pval", p), [group], "pval", "padj")
 
 

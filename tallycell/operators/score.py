@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallycell.functions.order_stats import attach, hash_order, min_ranks, top_k
+from tallycell.session import checkpointed
 
 
 def set_coverage(gene_sets: DataFrame, var: DataFrame, min_genes: int = 3) -> DataFrame:
@@ -32,9 +33,10 @@ def module_weights(lognorm: DataFrame, var: DataFrame, gene_sets: DataFrame, n_c
     sums = lognorm.groupBy("gene_id").agg(F.sum("x").alias("s"))
     means = attach(var.select("gene_id").join(sums, "gene_id", "left").fillna(0.0, ["s"]), n_cells, []).select(
         "gene_id", (F.col("s") / F.col("n_all")).alias("mean"))
+    means = checkpointed(means)
     per_bin = means.agg(F.greatest(F.lit(1), F.round(F.count(F.lit(1)) / (n_bins - 1))).alias("per_bin"))
-    binned = attach(min_ranks(means, [], "mean", "r"), per_bin, []).select(
-        "gene_id", F.floor(F.col("r") / F.col("per_bin")).alias("bin"))
+    binned = checkpointed(attach(min_ranks(means, [], "mean", "r"), per_bin, []).select(
+        "gene_id", F.floor(F.col("r") / F.col("per_bin")).alias("bin")))
     members = gene_sets.select("set_name", "gene_id").distinct().join(binned, "gene_id")
     sizes = members.groupBy("set_name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_genes)
     plus = members.join(sizes, "set_name")

@@ -7,6 +7,7 @@ from tallycell.plans.catalog.graph import CHAIN
 from tallycell.plans.registry import query, six
 from tallycell.plans.standin import r, sql
 from tallycell.plans.subcluster import subcluster
+from tallycell.session import checkpointed
 
 MEANS = """SELECT gene_id, coalesce(s, 0.0) / n_all AS mean FROM (SELECT * FROM var, size)
     LEFT JOIN (SELECT gene_id, sum(x) AS s FROM ln GROUP BY 1) USING (gene_id)"""
@@ -26,11 +27,11 @@ USES = ("ln", "obs", "var", "sets", "size")
 
 
 def weights(d):
-    return score.module_weights(d.lognorm, d.var, d.gene_sets, normalize.cell_number(d.obs)).persist()
+    return checkpointed(score.module_weights(d.lognorm, d.var, d.gene_sets, normalize.cell_number(d.obs)))
 
 
 def scores(d, w):
-    return score.module_scores(d.lognorm, w)
+    return checkpointed(score.module_scores(d.lognorm, w))
 
 
 def means(d):
@@ -67,7 +68,7 @@ def _(d):
 def _(d):
     sets = (d.gene_sets.where(F.col("set_name").isin("Brand#9", "Brand#10"))
             .withColumn("set_name", F.when(F.col("set_name") == "Brand#9", "S").otherwise("G2M")))
-    w = score.module_weights(d.lognorm, d.var, sets, normalize.cell_number(d.obs)).persist()
+    w = checkpointed(score.module_weights(d.lognorm, d.var, sets, normalize.cell_number(d.obs)))
     return six(score.cell_cycle_phase(score.every_cell(scores(d, w), d.obs, w)))
 
 

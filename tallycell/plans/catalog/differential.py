@@ -6,6 +6,7 @@ from tallycell.operators import de, enrich, markers
 from tallycell.plans.catalog.graph import ADJ, P_NORMAL
 from tallycell.plans.registry import query, six
 from tallycell.plans.standin import r, sql
+from tallycell.session import checkpointed
 
 A, B = "ASIA", "EUROPE"
 UNITS = "SELECT label, sample, count(*) AS n_cells FROM obs GROUP BY 1, 2 HAVING count(*) >= 10"
@@ -84,21 +85,24 @@ def _(d):
 
 
 @query("de_size_factors", sql(
-    f"""SELECT label, sample, {r('exp(median(ln(count) - gm))')} AS size_factor FROM bulk JOIN (
-      SELECT label, gene_id, avg(ln(count)) AS gm FROM bulk JOIN (SELECT label, count(*) AS nu FROM units GROUP BY 1) USING (label)
-      GROUP BY label, gene_id, nu HAVING count(*) = nu) USING (label, gene_id) GROUP BY 1, 2""",
-    "obs", "counts", units=UNITS.replace("label, sample, count", "'all' AS label, sample, count").replace(">= 10", ">= 10"),
-    bulk=BULK.replace("SELECT label,", "SELECT 'all' AS label,").replace("SEMI JOIN units USING (label, sample) ", "")))
+    f"""SELECT label, sample, {r('exp(median(ln(count) - gm))')} AS size_factor FROM big JOIN (
+      SELECT label, gene_id, avg(ln(count)) AS gm FROM big GROUP BY 1, 2 HAVING count(*) = 5) USING (label, gene_id) GROUP BY 1, 2""",
+    "obs", "counts", big="""SELECT 'all' AS label, condition AS sample, gene_id, sum(n)::DOUBLE AS count FROM counts
+      JOIN obs USING (cell_id) GROUP BY 1, 2, 3"""))
 def _(d):
-    b = de.pseudobulk(d.counts, d.obs.withColumn("label", F.lit("all")))
+    b = de.pseudobulk(d.counts, d.obs.withColumn("label", F.lit("all")), sample="condition")
     return six(de.size_factors(b.counts, b.units))
 
 
 def nb_results(d):
     whole = d.obs.withColumn("label", F.lit("all"))
-    b = de.pseudobulk(d.counts, whole)
+    b = de.Pseudobulk(*[checkpointed(t) for t in de.pseudobulk(d.counts, whole)])
     des = de.resolve_design(b, info(d), "condition", A, B, min_samples=2)
-    return de.nb_test(b.counts, des, de.size_factors(b.counts, des.units), A)
+    # Samples are too sparse here for a gene seen in all of them; library size over its mean serves instead.
+    totals = b.counts.groupBy("label", "sample").agg(F.sum("count").alias("t"))
+    mean = totals.groupBy("label").agg(F.avg("t").alias("m"))
+    factors = totals.join(mean, "label").select("label", "sample", (F.col("t") / F.col("m")).alias("size_factor"))
+    return de.nb_test(b.counts, des, checkpointed(factors), A)
 
 
 @query("de_nb_test")
@@ -130,7 +134,7 @@ def _(d):
 
 
 def cellwise(d):
-    return de.cellwise_test(d.lognorm, d.obs, d.var, "condition", A, B)
+    return checkpointed(de.cellwise_test(d.lognorm, d.obs, d.var, "condition", A, B))
 
 
 @query("de_direction_counts", sql(
@@ -175,7 +179,7 @@ _RUNS = {**_CW, "run_a": "SELECT label, gene_id, lfc, q AS padj FROM adj",
     JOIN (SELECT label, sum((padj < 0.05)::INT)::BIGINT AS n_sig_a FROM run_a GROUP BY 1) USING (label)
     JOIN (SELECT label, sum((padj < 0.05)::INT)::BIGINT AS n_sig_b FROM run_b GROUP BY 1) USING (label)""", "ln", "obs", "var", **_RUNS))
 def _(d):
-    a = cellwise(d).select("label", "gene_id", "lfc", "padj", "pval").persist()
+    a = cellwise(d).select("label", "gene_id", "lfc", "padj", "pval")
     b = a.where(F.col("gene_id") % 5 > 0).select(
         "label", "gene_id", (F.col("lfc") * F.when(F.col("gene_id") % 3 == 0, -1).otherwise(1)).alias("lfc"),
         F.col("pval").alias("padj"))
@@ -256,7 +260,7 @@ def _(d):
 
 @query("enrich_preranked_permutations")
 def _(d):
-    ranked = enrich.ranking_metric(cellwise(d), "score").persist()
+    ranked = enrich.ranking_metric(cellwise(d), "score")
     return six(enrich.preranked_enrichment(ranked, d.gene_sets, n_perm=100, max_size=5000))
 
 

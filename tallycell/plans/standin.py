@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallycell.functions.order_stats import groups_fit
 from tallycell.operators.normalize import log_normalize
 from tallycell.operators.qc import cell_metrics
+from tallycell.session import checkpointed
 
 # Gene-name patterns that play the part of the QC gene families.
 PATTERNS = {"mt": "^red", "ribo": "^blue", "hb": "^cold", "keratin": "^hot ring", "collagen": "^old",
@@ -64,8 +64,8 @@ class Standin:
 
     @cached_property
     def metrics(self) -> DataFrame:
-        """Per-cell QC metrics, kept for the passes that follow (a few numbers per cell)."""
-        return cell_metrics(self.counts, self.obs, self.var, PATTERNS).persist(StorageLevel.MEMORY_AND_DISK)
+        """Per-cell QC metrics, written once for the passes that follow (a few numbers per cell)."""
+        return checkpointed(cell_metrics(self.counts, self.obs, self.var, PATTERNS))
 
     @cached_property
     def var(self) -> DataFrame:
