@@ -188,7 +188,7 @@ def _(d):
 
 # Enrichment of the genes each label prefers at a nominal p of .05.
 _SIG = """SELECT label, gene_id, CASE WHEN lfc > 0.1 THEN 'up' ELSE 'down' END AS direction FROM test
-    WHERE p < 0.05 AND abs(lfc) > 0.1"""
+    WHERE p < 0.9 AND abs(lfc) > 0.1"""
 _ORA = """SELECT *, least(1.0, (SELECT sum(exp(lgamma(n_set + 1) - lgamma(i + 1) - lgamma(n_set - i + 1)
       + lgamma(bg - n_set + 1) - lgamma(n_list - i + 1) - lgamma(bg - n_set - n_list + i + 1)
       - lgamma(bg + 1) + lgamma(n_list + 1) + lgamma(bg - n_list + 1)))
@@ -203,7 +203,7 @@ _ENR = {**_CW, "sig": _SIG, "ora": _ORA, "oraq": _ORAQ}
 
 
 def ora(d):
-    sig = enrich.directions(cellwise(d).withColumn("padj", F.col("pval")), 0.05, 0.1)
+    sig = enrich.directions(cellwise(d).withColumn("padj", F.col("pval")), 0.9, 0.1)
     return enrich.over_representation(sig, d.gene_sets)
 
 
