@@ -224,13 +224,11 @@ def connectivities(edges: DataFrame) -> DataFrame:
     return both.groupBy("src", "dst").agg((a + b - a * b).alias("weight"))
 
 
-def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 6, levels: int = 3,
-                seed: int = 0) -> DataFrame:
+def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 6, levels: int = 3) -> DataFrame:
     """Modularity communities of a symmetric weighted graph: ``(cell_id, cluster)``, largest first.
 
-    Every round all nodes of one hash half weigh the communities of their neighbours and move to the best
-    one; halves alternate so that two nodes never swap for ever.  When few nodes move, communities become
-    the nodes of the next level.  Lineage is cut once a round.
+    Every round all nodes weigh the communities of their neighbours and move to the best one.  When hardly
+    any node moves, communities become the nodes of the next level.  Lineage is cut once a round.
     """
     graph = checkpointed(edges.select("src", "dst", F.col("weight").alias("w")))
     m2 = graph.agg(F.sum("w")).first()[0] or 0.0
@@ -240,7 +238,7 @@ def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 6, leve
             F.sum("w").alias("deg"),
             F.sum(F.when(F.col("src") == F.col("dst"), F.col("w")).otherwise(0.0)).alias("loop"))
         state = checkpointed(degree.withColumn("comm", F.col("node")))
-        n_nodes, moved_any = state.count(), False
+        n_nodes = state.count()
         for step in range(rounds):
             totals = state.groupBy("comm").agg(F.sum("deg").alias("tot"))
             links = (graph.where(F.col("src") != F.col("dst"))
@@ -253,28 +251,28 @@ def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 6, leve
                        .join(state.select("node", "deg", F.col("comm").alias("own")), "node"))
             others = F.col("tot") - F.when(F.col("comm") == F.col("own"), F.col("deg")).otherwise(0.0)
             gain = F.col("to") - resolution * F.col("deg") * others / m2
-            scored = options.withColumn("gain", gain)
+            # Odd rounds only look at communities with smaller names, even rounds at larger ones: two nodes
+            # can never trade places.
+            onward = F.col("comm") < F.col("own") if step % 2 == 0 else F.col("comm") > F.col("own")
+            scored = options.where((F.col("comm") == F.col("own")) | onward).withColumn("gain", gain)
             best = scored.groupBy("node").agg(
                 F.min_by("comm", F.struct(-F.round("gain", 9), F.col("comm"))).alias("best"),
                 F.max("gain").alias("top"),
                 F.max(F.when(F.col("comm") == F.col("own"), F.col("gain"))).alias("stay"))
-            turn = F.pmod(F.xxhash64(F.lit(seed), F.col("node")), F.lit(2)) == step % 2
-            go = turn & (F.col("top") > F.col("stay") + 1e-9)
+            go = F.col("top") > F.col("stay") + 1e-9
             state = checkpointed(state.join(best, "node").select(
                 "node", "deg", "loop", F.when(go, F.col("best")).otherwise(F.col("comm")).alias("comm"),
                 F.when(go, F.lit(1)).otherwise(0).alias("moved")))
             state, before = state.drop("moved"), state
             if step % 2:
-                # Both halves have had their turn: stop when hardly anything moved in this one.
                 n_moved = before.agg(F.sum("moved")).first()[0]
-                moved_any = moved_any or n_moved > 0
                 if n_moved <= n_nodes * 0.001:
                     break
         link = state.select(F.col("node"), F.col("comm"))
         member = link.toDF("cell_id", "c") if member is None else (
             member.join(link.toDF("c", "d"), "c").select("cell_id", F.col("d").alias("c")))
         member = checkpointed(member)
-        if not moved_any:
+        if state.select("comm").distinct().count() == n_nodes:
             break
         graph = checkpointed(
             graph.join(link.toDF("src", "a"), "src").join(link.toDF("dst", "b"), "dst")
@@ -330,7 +328,7 @@ def resolution_sweep(embedding: DataFrame, edges: DataFrame, resolutions: Sequen
     rows = []
     edges = edges.persist(StorageLevel.MEMORY_AND_DISK)
     for res in resolutions:
-        full = communities(edges, res, rounds, levels, seed)
+        full = communities(edges, res, rounds, levels)
         w = cluster_warnings(full).first()
         sil = silhouette(full, embedding) if w["n_clusters"] > 1 else 0.0
         aris = []
@@ -339,7 +337,7 @@ def resolution_sweep(embedding: DataFrame, edges: DataFrame, resolutions: Sequen
                                      .cast("bigint") < int(share * 2 ** 32)).select("cell_id")
             sub = (edges.join(chosen.withColumnRenamed("cell_id", "src"), "src", "left_semi")
                    .join(chosen.withColumnRenamed("cell_id", "dst"), "dst", "left_semi"))
-            again = communities(sub, res, rounds, levels, seed).withColumnRenamed("cluster", "again")
+            again = communities(sub, res, rounds, levels).withColumnRenamed("cluster", "again")
             aris.append(adjusted_rand(full.join(again, "cell_id"), "cluster", "again").first()[0])
         ari = float(np.mean(aris)) if aris else 0.0
         tiny = w["n_tiny"]
