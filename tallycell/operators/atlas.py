@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import StringIndexer
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallycell.functions.order_stats import hash_order
@@ -82,3 +85,19 @@ def marker_lookup(gene_sets: DataFrame, name: str) -> DataFrame:
     names = gene_sets.select("set_name").distinct().select("set_name", F.when(s == q, 0).when(s.contains(q) | q.contains(s), 1).alias("kind"))
     best = names.agg(F.min("kind")).toDF("k").scalar()
     return gene_sets.join(names.where(F.col("kind") == best), "set_name").select("set_name", "gene_id")
+
+
+def train_classifier(vectors: DataFrame, labels: DataFrame, max_iter: int = 50, reg: float = 1e-3):
+    """Multinomial classifier of cells by label; returns the model, label names and the class sizes."""
+    data = vectors.join(labels.select("cell_id", "label"), "cell_id")
+    index = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc").fit(data)
+    model = LogisticRegression(family="multinomial", labelCol="y", maxIter=max_iter, regParam=reg).fit(index.transform(data))
+    sizes = data.groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumn("thin", F.col("n") < 20)
+    return model, list(index.labels), sizes
+
+
+def classify(model, names: Sequence[str], vectors: DataFrame) -> DataFrame:
+    """Predicted label and its probability for every cell."""
+    p = vector_to_array("probability")
+    return model.transform(vectors).select(
+        "cell_id", F.get(F.array(*[F.lit(n) for n in names]), F.col("prediction").cast("int")).alias("predicted"), F.array_max(p).alias("confidence"))

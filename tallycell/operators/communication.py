@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallycell.functions.numeric import ratio
-from tallycell.functions.order_stats import top_k
+from tallycell.functions.order_stats import cumulative, top_k
 
 
 def population_floor(obs: DataFrame, label: str = "label", context: Sequence[str] = (), min_cells: int = 30) -> tuple[DataFrame, DataFrame]:
@@ -78,3 +78,48 @@ def dot_data(scores: DataFrame, value: str = "lr_means", sources: Sequence[str]
     if targets:
         out = out.where(F.col("target").isin(*targets))
     return out.orderBy(F.desc(F.round(value, 9)), "source", "target", "pair_id").limit(top_n)
+
+
+def robust_means(values: DataFrame, obs: DataFrame, sizes: DataFrame, label: str = "label", context: Sequence[str] = ()) -> DataFrame:
+    """``(q1 + 2 * median + q3) / 4`` of each gene per label, zeros included.
+
+    Only non-zero entries are ordered; a quantile that falls into the block of zeros is zero.
+    """
+    keys = [*context, "label", "gene_id"]
+    cells = obs.select("cell_id", F.col(label).alias("label"), *context)
+    hist = values.join(cells, "cell_id").groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("_n"))
+    c = cumulative(hist, keys, "x", "_n").join(sizes, [*context, "label"])
+    zeros = F.col("n_cells") - F.col("_total")
+
+    def at(pos):
+        inside = F.min(F.when(F.col("_cum") + zeros > pos, F.col("x")))
+        return F.when(F.max(pos) < F.max(zeros), 0.0).otherwise(inside)
+
+    def quantile(p: float):
+        pos = F.lit(p) * (F.col("n_cells") - 1)
+        lo, hi = at(F.floor(pos)), at(F.ceil(pos))
+        return lo + (hi - lo) * F.max(pos - F.floor(pos))
+
+    return c.groupBy(*keys).agg(((quantile(0.25) + 2 * quantile(0.5) + quantile(0.75)) / 4).alias("level"))
+
+
+def pathway_flow(levels: DataFrame, pairs: DataFrame, context: Sequence[str] = (), half: float = 0.5) -> DataFrame:
+    """Information flow per pathway: Hill-transformed ligand-receptor products summed over label pairs.
+
+    ``pairs`` is ``(pathway, pair_id, side, gene_id)``; complexes use the geometric mean of their subunits.
+    """
+    need = pairs.groupBy("pair_id", "side").agg(F.count(F.lit(1)).alias("units"))
+    sides = (pairs.join(levels.where("level > 0"), "gene_id").groupBy(*context, "label", "pathway", "pair_id", "side")
+             .agg(F.exp(F.avg(F.log("level"))).alias("v"), F.count(F.lit(1)).alias("seen"))
+             .join(need, ["pair_id", "side"]).where(F.col("seen") == F.col("units")))
+    lig = sides.where("side = 'ligand'").select(*context, "pathway", "pair_id", F.col("label").alias("source"), F.col("v").alias("l"))
+    rec = sides.where("side = 'receptor'").select(*context, "pathway", "pair_id", F.col("label").alias("target"), F.col("v").alias("r"))
+    both = lig.join(rec, [*context, "pathway", "pair_id"])
+    lr = F.col("l") * F.col("r")
+    return both.groupBy(*context, "pathway").agg(F.sum(lr / (half + lr)).alias("flow"))
+
+
+def compare_flow(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Flow of each pathway in two splits with its log ratio; a pathway absent from one side counts as zero."""
+    m = a.select("pathway", F.col("flow").alias("flow_a")).join(b.select("pathway", F.col("flow").alias("flow_b")), "pathway", "full").fillna(0.0)
+    return m.withColumn("log2_ratio", F.log2((F.col("flow_a") + 1e-9) / (F.col("flow_b") + 1e-9)))

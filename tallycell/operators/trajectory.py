@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
+import numpy as np
+import pandas as pd
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType
 
 from tallycell.functions.numeric import first_number
 from tallycell.functions.order_stats import attach, average_ranks, quantile_name, quantiles
@@ -113,3 +120,89 @@ def binned_expression(lognorm: DataFrame, cells: DataFrame, pseudotime: str, gen
     m = grid.join(sums, ["gene_id", "bin"], "left").select("gene_id", "bin", (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("mean"))
     c = m.groupBy("gene_id").agg(F.avg("mean").alias("gm"), F.stddev_pop("mean").alias("gs"))
     return m.join(c, "gene_id").select("gene_id", "bin", "mean", ((F.col("mean") - F.col("gm")) / (F.col("gs") + 1e-9)).alias("z"))
+
+
+class PrincipalTree(NamedTuple):
+    """Node positions, tree edges, and each cell's closest node ``(cell_id, node)``."""
+
+    nodes: np.ndarray
+    edges: list[tuple[int, int]]
+    assigned: DataFrame
+
+
+def _spanning_tree(points: np.ndarray) -> list[tuple[int, int]]:
+    d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1))
+    inside, edges = {0}, []
+    while len(inside) < len(points):
+        rest = [j for j in range(len(points)) if j not in inside]
+        a, b = min(((i, j) for i in inside for j in rest), key=lambda e: d[e])
+        edges.append((a, b))
+        inside.add(b)
+    return edges
+
+
+def principal_tree(embedding: DataFrame, n_nodes: int = 20, min_share: float = 0.01, seed: int = 0) -> PrincipalTree:
+    """Cluster centres joined by a minimum spanning tree; leaves with hardly any cells are cut off.
+
+    Clustering and assignment run on Spark; only the centres (a few dozen) meet on the driver.
+    """
+    data = embedding.select("cell_id", array_to_vector(F.col("v").cast("array<double>")).alias("features"))
+    model = KMeans(k=n_nodes, seed=seed, initSteps=5).fit(data)
+    points = np.array(model.clusterCenters())
+    sizes = {r["prediction"]: r["count"] for r in model.transform(data).groupBy("prediction").count().collect()}
+    edges, total = _spanning_tree(points), sum(sizes.values())
+    while len(points) > 3:
+        degree = np.bincount(np.array(edges).ravel(), minlength=len(points))
+        weak = [i for i in np.flatnonzero(degree == 1) if sizes.get(i, 0) < min_share * total]
+        if not weak:
+            break
+        keep = [i for i in range(len(points)) if i != weak[0]]
+        place = {old: new for new, old in enumerate(keep)}
+        edges = [(place[a], place[b]) for a, b in edges if weak[0] not in (a, b)]
+        sizes = {place[i]: n for i, n in sizes.items() if i in place}
+        points = points[keep]
+
+    @F.pandas_udf(IntegerType())
+    def closest(v: pd.Series) -> pd.Series:
+        m = np.vstack(v.to_numpy())
+        return pd.Series(((m[:, None] - points[None]) ** 2).sum(-1).argmin(1).astype("int32"))
+
+    return PrincipalTree(points, edges, embedding.select("cell_id", closest(F.col("v").cast("array<double>")).alias("node")))
+
+
+def pseudotime(embedding: DataFrame, tree: PrincipalTree, root: int) -> DataFrame:
+    """Distance from the root along the tree at each cell's projection, scaled to [0, 1]."""
+    points, edges = tree.nodes, list(tree.edges)
+    near: dict[int, list[int]] = {i: [] for i in range(len(points))}
+    for a, b in edges:
+        near[a].append(b)
+        near[b].append(a)
+    far, stack = {root: 0.0}, [root]
+    while stack:
+        i = stack.pop()
+        for j in near[i]:
+            if j not in far:
+                far[j] = far[i] + float(np.linalg.norm(points[i] - points[j]))
+                stack.append(j)
+
+    @F.pandas_udf(DoubleType())
+    def along(v: pd.Series, node: pd.Series) -> pd.Series:
+        m, out = np.vstack(v.to_numpy()), np.full(len(v), np.nan)
+        gap = np.full(len(v), np.inf)
+        nodes = node.to_numpy()
+        for a, b in edges:
+            use = (nodes == a) | (nodes == b)
+            if not use.any() or a not in far:
+                continue
+            step = points[b] - points[a]
+            t = np.clip(((m[use] - points[a]) @ step) / max(step @ step, 1e-12), 0, 1)
+            d = np.linalg.norm(m[use] - points[a] - t[:, None] * step, axis=1)
+            better = d < gap[use]
+            where = np.flatnonzero(use)[better]
+            gap[where], out[where] = d[better], (far[a] + t * (far[b] - far[a]))[better]
+        return pd.Series(out)
+
+    raw = checkpointed(embedding.join(tree.assigned, "cell_id").select(
+        "cell_id", along(F.col("v").cast("array<double>"), "node").alias("d")).withColumn("d", F.nanvl("d", F.lit(None).cast("double"))))
+    span = raw.agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+    return attach(raw, span, []).select("cell_id", ((F.col("d") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-12)).alias("pseudotime"))
