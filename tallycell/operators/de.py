@@ -158,27 +158,39 @@ def _profile_dispersion(y, x, mu, centre=None, spread=None) -> np.ndarray:
     return np.exp(best)
 
 
-def _design_matrix(frame: pd.DataFrame, arm_a: str, covariates: Sequence[str]) -> np.ndarray:
+def _design_matrix(frame: pd.DataFrame, arm_a: str, covariates: Sequence[str],
+                   interaction: str | None = None) -> tuple[np.ndarray, list[tuple[int, str]]]:
+    """Model matrix and the coefficients to test, by position: the arm, or its product with each later level."""
     cols = [np.ones(len(frame))]
     for c in covariates:
         levels = sorted(frame[c].astype(str).unique())
         cols += [(frame[c].astype(str) == v).to_numpy(float) for v in levels[1:]]
-    cols.append((frame["arm"] == arm_a).to_numpy(float))
-    return np.column_stack(cols)
+    arm = (frame["arm"] == arm_a).to_numpy(float)
+    if interaction is None:
+        return np.column_stack([*cols, arm]), [(len(cols), arm_a)]
+    levels = sorted(frame[interaction].astype(str).unique())[1:]
+    dummies = [(frame[interaction].astype(str) == v).to_numpy(float) for v in levels]
+    base = [*cols, *dummies, arm]
+    tested = [(len(base) + i, f"{arm_a}:{v}") for i, v in enumerate(levels)]
+    return np.column_stack([*base, *[arm * x for x in dummies]]), tested
 
 
 def nb_test(counts: DataFrame, design: Design, factors: DataFrame, arm_a: str,
-            covariates: Sequence[str] = ()) -> DataFrame:
+            covariates: Sequence[str] = (), interaction: str | None = None) -> DataFrame:
     """Per-gene negative-binomial Wald test of arm A against the other arm, for every label at once.
 
+    With ``interaction`` (a sample attribute carried by the units) the products of the arm with its later
+    levels are tested instead, one row per gene and product, named in ``coefficient``.
+
     Units of a gene (dozens of samples) form one small group; genes are spread over the cluster.  Pass one
     gives gene-wise dispersions; their trend ``a1 / mean + a0`` comes from per-label sums; pass two shrinks
     each dispersion towards the trend and tests.  Genes without a finite p are left out.
     """
     units = checkpointed(design.units.join(factors, ["label", "sample"]))
+    carried = [*covariates, *([interaction] if interaction else [])]
     # A sample without counts for a gene is a zero, so units are carried along with each gene.
     unit_rows = units.groupBy("label").agg(F.collect_list(F.struct(
-        "sample", "arm", "size_factor", *covariates)).alias("units"))
+        "sample", "arm", "size_factor", *carried)).alias("units"))
     cells = counts.join(design.genes, ["label", "gene_id"], "left_semi").join(
         units.select("label", "sample"), ["label", "sample"], "left_semi")
     per_gene = (cells.groupBy("label", "gene_id").agg(F.map_from_entries(F.collect_list(F.struct("sample", "count"))).alias("n"))
@@ -189,16 +201,17 @@ def nb_test(counts: DataFrame, design: Design, factors: DataFrame, arm_a: str,
     ready = per_gene.select("label", "gene_id", y.alias("y"), F.to_json("units").alias("design")).repartition(
         tasks, "label", "gene_id")
 
-    def frame_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    def frame_of(text: str):
         f = pd.DataFrame(json.loads(text))
         f["arm"] = f["arm"].astype(str)
-        return _design_matrix(f, arm_a, covariates), np.log(f["size_factor"].to_numpy(float))
+        x, tested = _design_matrix(f, arm_a, covariates, interaction)
+        return x, np.log(f["size_factor"].to_numpy(float)), tested
 
     def fits(batches, final: bool):
         """Fit all genes of a batch that share a design together."""
         for pdf in batches:
             for text, part in pdf.groupby("design", sort=False):
-                x, off = frame_of(text)
+                x, off, tested = frame_of(text)
                 v = np.vstack(part["y"].to_numpy()).astype(float)
                 norm = v / np.exp(off)
                 base = norm.mean(axis=1)
@@ -214,9 +227,10 @@ def nb_test(counts: DataFrame, design: Design, factors: DataFrame, arm_a: str,
                 alpha = _profile_dispersion(v, x, mu, target, wide)
                 outlier = np.log(disp) > target + 2 * np.sqrt(wide)
                 beta, cov, _ = _irls(v, x, off, np.where(outlier, disp, alpha))
-                lfc, se = beta[:, -1] / np.log(2), np.sqrt(cov[:, -1, -1]) / np.log(2)
-                yield pd.DataFrame({"label": part["label"].to_numpy(), "gene_id": part["gene_id"].to_numpy(),
-                                    "base_mean": base, "lfc": lfc, "lfc_se": se, "stat": lfc / se})
+                for i, name in tested:
+                    lfc, se = beta[:, i] / np.log(2), np.sqrt(cov[:, i, i]) / np.log(2)
+                    yield pd.DataFrame({"label": part["label"].to_numpy(), "gene_id": part["gene_id"].to_numpy(),
+                                        "coefficient": name, "base_mean": base, "lfc": lfc, "lfc_se": se, "stat": lfc / se})
 
     first = ready.mapInPandas(lambda b: fits(b, False),
                               f"label string, gene_id {kind}, y array<double>, design string, base_mean double, disp double")
@@ -234,10 +248,11 @@ def nb_test(counts: DataFrame, design: Design, factors: DataFrame, arm_a: str,
     dev = quantiles(resid.withColumn("r", F.abs("r")), ["label"], {"r": [0.5]}).select(
         "label", F.pow(F.col("r_q50") * 1.4826, F.lit(2.0)).alias("spread"))
     second = first.join(trend, "label").join(dev, "label").mapInPandas(
-        lambda b: fits(b, True), f"label string, gene_id {kind}, base_mean double, lfc double, lfc_se double, stat double")
+        lambda b: fits(b, True), f"label string, gene_id {kind}, coefficient string, base_mean double, lfc double, "
+                              "lfc_se double, stat double")
     second = checkpointed(second)
     tested = second.where("stat IS NOT NULL AND NOT isnan(stat)").withColumn("pval", two_sided_normal_p("stat"))
-    return adjust_bh(tested, ["label"], "pval", "padj").where("padj IS NOT NULL")
+    return adjust_bh(tested, ["label", "coefficient"], "pval", "padj").where("padj IS NOT NULL")
 
 
 def shrink_lfc(tested: DataFrame, keys: Sequence[str] = ("label",)) -> DataFrame:

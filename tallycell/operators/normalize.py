@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tallycell.functions.order_stats import attach, quantiles
 from tallycell.knowledge import fixed
+from tallycell.session import checkpointed
 
 
 def cell_number(obs: DataFrame) -> DataFrame:
@@ -88,13 +89,14 @@ def hvg_by_quantile_bins(lognorm: DataFrame, n_cells: DataFrame, n_top: int) ->
     """Variable genes by dispersion, centred by median and scaled by MAD inside 5 %-wide mean bins."""
     m = gene_moments(lognorm, n_cells, F.expm1("x")).where(F.col("mean") > 0).select(
         "gene_id", "mean", (F.col("var") / F.col("mean")).alias("disp"))
+    m = checkpointed(m)
     probs = [p / 100 for p in range(10, 105, 5)]
     cuts = quantiles(m, [], {"mean": probs})
     array = cuts.select(F.array(*cuts.columns)).toDF("c").scalar()
     binned = m.withColumn("_cuts", array).withColumn(
         "bin", F.size(F.filter("_cuts", lambda c: c < F.col("mean")))).drop("_cuts")
     centre = quantiles(binned, ["bin"], {"disp": [0.5]})
-    dev = binned.join(centre, "bin").withColumn("dev", F.abs(F.col("disp") - F.col("disp_q50")))
+    dev = checkpointed(binned.join(centre, "bin").withColumn("dev", F.abs(F.col("disp") - F.col("disp_q50"))))
     spread = quantiles(dev, ["bin"], {"dev": [0.5]})
     z = (F.col("disp") - F.col("disp_q50")) / (F.col("dev_q50") / 0.6744897501960817)
     return (dev.join(spread, "bin").where(F.col("dev_q50") > 0)

@@ -110,6 +110,16 @@ def _(d):
     return six(nb_results(d))
 
 
+@query("de_interaction_fit")
+def _(d):
+    whole = d.obs.withColumn("label", F.lit("all"))
+    b = de.Pseudobulk(*[checkpointed(t) for t in de.pseudobulk(d.counts, whole)])
+    des = de.resolve_design(b, info(d), "condition", A, B, min_samples=2)
+    units = des.units.join(info(d).select("sample", "timepoint"), "sample")
+    factors = checkpointed(des.units.select("label", "sample", F.lit(1.0).alias("size_factor")))
+    return six(de.nb_test(b.counts, des._replace(units=checkpointed(units)), factors, A, interaction="timepoint"))
+
+
 _ARMCELLS = f"SELECT * FROM obs WHERE condition IN ('{A}', '{B}')"
 _CW = {
     "cells": _ARMCELLS,

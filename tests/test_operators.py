@@ -92,6 +92,16 @@ def test_planted_effect_is_found(planted):
     assert (shrunk["lfc"].abs() <= shrunk["lfc_unshrunk"].abs() + 1e-12).all()
 
 
+def test_interaction_terms_are_named(planted):
+    obs = planted["obs"].withColumn("timepoint", F.concat(F.lit("D"), F.substring("sample", 2, 1).cast("int") % 2))
+    b = de.pseudobulk(planted["counts"], obs)
+    info = obs.select("sample", "condition", "timepoint").distinct()
+    design = de.resolve_design(b, info, "condition", "A", "B", min_genes=20)
+    units = design.units.join(info.select("sample", "timepoint"), "sample")
+    t = de.nb_test(b.counts, design._replace(units=units), de.size_factors(b.counts, units), "A", interaction="timepoint").toPandas()
+    assert set(t["coefficient"]) == {"A:D1"} and (t["padj"] < 0.05).mean() < 0.1
+
+
 def test_too_few_samples_are_skipped_with_a_reason(planted):
     b = de.pseudobulk(planted["counts"], planted["obs"])
     info = planted["obs"].select("sample", "condition").distinct()
