@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,15 +21,23 @@ def local_session(app: str = "tallycell", cpus: int | str = 8, partitions: int =
             .getOrCreate())
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the reliable checkpoint folder.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the session names in ``spark.checkpoint.dir``.
 
-    The folder is the one the session already names; only where none is set (tests on one machine) a
-    temporary folder is used.
+    Only a session that runs on one machine may leave it unset; on a cluster that is an error, since no executor could read
+    what another wrote to a folder of its own.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"/tmp/tallycell-checkpoints-{os.getuid()}"
+    return folder.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage through the reliable checkpoint folder that the session names."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp"))
+        sc.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint(eager=True)
