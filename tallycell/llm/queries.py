@@ -4,17 +4,42 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallycell.llm import exact_dedup
+from tallycell.llm import bpe_codec, chat_format, exact_dedup, positional_index, token_counts
 from tallycell.llm.common import table
 
+VOCABULARY = "word_bpe_49k.json"
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = positional_index.build_index(table(spark, sf_dir, "documents"))
+    return positional_index.contamination(index, table(spark, sf_dir, "benchmark"))
+
+
+def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_codec.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat_format.with_probe(spark, table(spark, sf_dir, "conversations"))
+    return chat_format.digests(chat_format.format_chats(rows))
+
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_token_counts": op4_token_counts,
+    "op5_decontamination": op5_decontamination,
+    "op6_bpe_codec": op6_bpe_codec,
+    "op8_chat_format": op8_chat_format,
     "op9_exact_dedup": op9_exact_dedup,
 }
-ORACLES: dict[str, str] = {"op9_exact_dedup": exact_dedup.SQL}
+ORACLES: dict[str, str] = {"op5_decontamination": positional_index.SQL, "op8_chat_format": chat_format.SQL, "op9_exact_dedup": exact_dedup.SQL}
