@@ -7,12 +7,20 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallycell.llm import bpe_codec, chat_format, exact_dedup, positional_index, token_counts
+from tallycell.llm import bpe_codec, chat_format, exact_dedup, positional_index, simhash_dedup, token_counts, warc
 from tallycell.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
 
 
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.through_archives(table(spark, sf_dir, "pages")).drop("html")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
@@ -36,10 +44,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash_dedup": op2_simhash_dedup,
+    "op3_warc": op3_warc,
     "op4_token_counts": op4_token_counts,
     "op5_decontamination": op5_decontamination,
     "op6_bpe_codec": op6_bpe_codec,
     "op8_chat_format": op8_chat_format,
     "op9_exact_dedup": op9_exact_dedup,
 }
-ORACLES: dict[str, str] = {"op5_decontamination": positional_index.SQL, "op8_chat_format": chat_format.SQL, "op9_exact_dedup": exact_dedup.SQL}
+ORACLES: dict[str, str] = {"op3_warc": warc.SQL, "op5_decontamination": positional_index.SQL, "op8_chat_format": chat_format.SQL, "op9_exact_dedup": exact_dedup.SQL}
