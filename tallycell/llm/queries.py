@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallycell.llm import bpe_codec, chat_format, exact_dedup, positional_index, simhash_dedup, token_counts, warc
+from tallycell.llm import bpe_codec, chat_format, exact_dedup, license_scan, positional_index, simhash_dedup, token_counts, warc
 from tallycell.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licence_scan(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_simhash_dedup": op2_simhash_dedup,
     "op3_warc": op3_warc,
     "op4_token_counts": op4_token_counts,
@@ -52,4 +57,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_exact_dedup": op9_exact_dedup,
 }
-ORACLES: dict[str, str] = {"op3_warc": warc.SQL, "op5_decontamination": positional_index.SQL, "op8_chat_format": chat_format.SQL, "op9_exact_dedup": exact_dedup.SQL}
+ORACLES: dict[str, str] = {"op1_license_scan": license_scan.SQL, "op3_warc": warc.SQL, "op5_decontamination": positional_index.SQL, "op8_chat_format": chat_format.SQL, "op9_exact_dedup": exact_dedup.SQL}
