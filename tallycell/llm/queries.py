@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallycell.llm import bpe_codec, chat_format, exact_dedup, license_scan, positional_index, simhash_dedup, token_counts, warc
+from tallycell.llm import bpe_codec, chat_format, cotraining, exact_dedup, license_scan, positional_index, simhash_dedup, token_counts, warc
 from tallycell.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -38,6 +38,11 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return cotraining.score(docs, cotraining.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat_format.with_probe(spark, table(spark, sf_dir, "conversations"))
     return chat_format.digests(chat_format.format_chats(rows))
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_decontamination": op5_decontamination,
     "op6_bpe_codec": op6_bpe_codec,
+    "op7_quality": op7_quality,
     "op8_chat_format": op8_chat_format,
     "op9_exact_dedup": op9_exact_dedup,
 }
