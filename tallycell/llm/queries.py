@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallycell.llm import bpe_codec, chat_format, cotraining, exact_dedup, license_scan, positional_index, simhash_dedup, token_counts, warc
+from tallycell.llm import bpe_codec, chat_format, cotraining, exact_dedup, license_scan, passages, positional_index, simhash_dedup, token_counts, warc
 from tallycell.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -52,6 +52,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_simhash_dedup": op2_simhash_dedup,
@@ -62,5 +66,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": op7_quality,
     "op8_chat_format": op8_chat_format,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_passages": op10_passages,
 }
 ORACLES: dict[str, str] = {"op1_license_scan": license_scan.SQL, "op3_warc": warc.SQL, "op5_decontamination": positional_index.SQL, "op8_chat_format": chat_format.SQL, "op9_exact_dedup": exact_dedup.SQL}
