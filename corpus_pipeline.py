@@ -4,19 +4,45 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallycell.llm import exact_dedup
+from tallycell.llm import bpe_codec, cotraining, exact_dedup, positional_index, simhash_dedup
 from tallycell.llm.common import table, written
+from tallycell.llm.queries import VOCABULARY
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labels among them, finds good."""
+    return cotraining.keep_good(docs, cotraining.train(docs, table(spark, sf_dir, "labels")))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the smallest id stays."""
+    """Of equal texts the document with the smallest id."""
     return exact_dedup.without_copies(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("exact_dedup", exact)]
-#: A trained classifier and a tokenizer take part: tested against the stages' brute-force versions instead.
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of similar texts the document with the smallest id."""
+    return simhash_dedup.without_near_copies(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item. Rows without doc_id are judged by their own text as all others."""
+    found = positional_index.contamination(positional_index.build_index(docs), table(spark, sf_dir, "benchmark"))
+    dirty = found.filter("contaminated").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(dirty, docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the token ids and of what they decode to."""
+    return bpe_codec.digests(docs, public_tokenizers.path(VOCABULARY))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("decontamination", decontaminated), ("bpe", encoded)]
+#: A trained classifier and a tokenizer take part: the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 
