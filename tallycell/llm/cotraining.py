@@ -1,8 +1,8 @@
 """Quality classifier by co-training.
 
 Two views of a document are learnt separately: its text content (which words, and which beginnings of words, occur) and its page
-metadata (language, source, length and layout figures, in steps). Each view has two heads, for low quality and for toxicity: a
-log-odds model over the traits whose share differs beyond chance between the two classes. In every round each view scores a
+metadata (language, source, length and layout figures, in steps). Each view has two heads, for low quality and for toxicity of
+documents that aren't of low quality (junk shares no words with prose, which says nothing of toxicity): a log-odds model over the traits whose share differs beyond chance between the two classes. In every round each view scores a
 pool of unlabelled documents, and what it is sure of, by its calibrated score, joins the other view's counts as a pseudo-label.
 At the end both views are calibrated on labelled rows that no training has seen, a logistic model of the two calibrated logits,
 fitted on those rows too, gives each head's probability, and a document is good with probability (1 - low) * (1 - toxic).
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tallycell.llm.common import slices, written
 
-LABELLED, POOL = 12_000, 4_000
+LABELLED, POOL = 20_000, 4_000
 ROUNDS, SURE = 2, 0.98
 HELD_OUT = 4  # one in so many labelled documents calibrates
 CHANCE = 5.0  # standard errors that a trait's shares must lie apart
@@ -119,6 +119,7 @@ def sample(docs: DataFrame, labels: DataFrame, labelled: int, pool: int) -> Data
     docs = _plain(docs)
     worst = [F.max((F.col("quality") != 1).cast("int")).alias("low"), F.max((F.col("toxic") != 0).cast("int")).alias("toxic")]
     marked = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(*worst)
+    marked = marked.withColumn("toxic", F.when(F.col("low") == 0, F.col("toxic")))
     known = _drawn(marked, labelled, 1)
     rest = _drawn(docs.filter("doc_id IS NOT NULL").select("doc_id"), pool, 2).distinct().join(marked.select("doc_id"), "doc_id", "left_anti")
     wanted = known.unionByName(rest, allowMissingColumns=True)
@@ -172,11 +173,12 @@ def _calibrate(held: DataFrame, model: Model) -> None:
         head.line = {v: (1.0, 0.0) for v in VIEWS}
     rows = _logits(held, model).select(*HEADS, *[f"{h}_{v}" for h in HEADS for v in VIEWS]).toPandas()
     for h, head in model.items():
-        y = rows[h].to_numpy(float)
+        own = rows[rows[h].notna()]
+        y = own[h].to_numpy(float)
         for v in VIEWS:
-            slope, offset = logistic(rows[[f"{h}_{v}"]].to_numpy(), y)
+            slope, offset = logistic(own[[f"{h}_{v}"]].to_numpy(), y)
             head.line[v] = float(slope), float(offset)
-        z = np.column_stack([head.line[v][0] * rows[f"{h}_{v}"] + head.line[v][1] for v in VIEWS])
+        z = np.column_stack([head.line[v][0] * own[f"{h}_{v}"] + head.line[v][1] for v in VIEWS])
         head.mix = tuple(logistic(z, y).tolist())
 
 
@@ -203,6 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
             scored = written(_logits(unlabelled, model), "pool")
             for v, other in zip(VIEWS, reversed(VIEWS), strict=True):
                 given = {h: F.when(F.abs(f"{h}_{other}") >= sure, (F.col(f"{h}_{other}") > 0).cast("int")) for h in HEADS}
+                given["toxic"] = F.when(given["low"] == 0, given["toxic"])
                 extra[v] = scored.select(v, *[c.alias(h) for h, c in given.items()])
     return {h: head for h, head in model.items() if found[h] > 1}
 
