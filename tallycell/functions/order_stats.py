@@ -14,7 +14,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 32
+BUCKET_ROWS = 4096
+MAX_BUCKETS = 1000  # split points of one group; beyond it buckets grow, results stay exact
 
 
 def attach(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -30,22 +31,24 @@ def attach(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inn
     return df.select("*", *[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(values, small.schema.fields)])
 
 
-def bucketed(df: DataFrame, keys: Sequence[str], value: str, weight: str,
-             buckets: int = BUCKETS) -> DataFrame:
-    """Add ``_b`` (a value-ordered bucket number) and ``_total`` (group weight)."""
+def bucketed(df: DataFrame, keys: Sequence[str], value: str, weight: str, rows: int = BUCKET_ROWS) -> DataFrame:
+    """Add ``_b`` (a value-ordered bucket number, about ``rows`` rows to a bucket) and ``_total`` (group weight)."""
     cuts = df.groupBy(*keys).agg(
-        F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 1000).alias("_cuts"),
-        F.sum(weight).alias("_total"))
+        F.percentile_approx(value, [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)], 5 * MAX_BUCKETS).alias("_all"),
+        F.least(F.lit(MAX_BUCKETS), F.ceil(F.count(F.lit(1)) / rows)).cast("int").alias("_n"), F.sum(weight).alias("_total"))
+    # Every MAX_BUCKETS / n-th of the fine split points; a group of one bucket has none.
+    chosen = F.when(F.col("_n") > 1, F.transform(
+        F.sequence(F.lit(1), F.col("_n") - 1), lambda i: F.get("_all", (i * MAX_BUCKETS / F.col("_n")).cast("int") - 1)))
+    cuts = cuts.select(*keys, F.coalesce(chosen, F.array().cast(f"array<{dict(df.dtypes)[value]}>")).alias("_cuts"), "_total")
     return (attach(df, cuts, keys)
             .withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(value))))
             .drop("_cuts"))
 
 
-def cumulative(df: DataFrame, keys: Sequence[str], value: str, weight: str,
-               buckets: int = BUCKETS) -> DataFrame:
+def cumulative(df: DataFrame, keys: Sequence[str], value: str, weight: str, rows: int = BUCKET_ROWS) -> DataFrame:
     """Add ``_cum`` (weight at or below this value), ``_tie`` (weight at it), ``_total`` and ``_b``."""
     keys = list(keys)
-    b = bucketed(df, keys, value, weight, buckets)
+    b = bucketed(df, keys, value, weight, rows)
     per_bucket = b.groupBy(*keys, "_b").agg(F.sum(weight).alias("_bw"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(*keys, "_b", F.coalesce(F.sum("_bw").over(before), F.lit(0)).alias("_off"))
@@ -76,16 +79,6 @@ def min_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataF
     return df.join(ranks, [*keys, value], "left")
 
 
-def groups_fit(df: DataFrame, keys: Sequence[str], limit: int = 1_000_000) -> bool:
-    """True when no group of ``df`` has more than ``limit`` rows.
-
-    Runs one counting job; meant for a dimension table, to choose between one aggregate per group and the
-    bucketed path.
-    """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return (sizes.agg(F.max("n")).first()[0] or 0) <= limit
-
-
 def quantile_name(column: str, p: float) -> str:
     return f"{column}_q{p * 100:g}".replace(".", "_")
 
@@ -95,22 +88,13 @@ def _usable(column: str) -> str:
     return f"CASE WHEN NOT isnan({v}) AND abs({v}) < double('Infinity') THEN {v} END"
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], spec: Mapping[str, Sequence[float]],
-              small_groups: bool = False) -> DataFrame:
+def quantiles(df: DataFrame, keys: Sequence[str], spec: Mapping[str, Sequence[float]]) -> DataFrame:
     """Exact linear-interpolated quantiles in one pass: ``spec`` maps a column to its probabilities.
 
     One row per group; NULL and non-finite values are left out.  Output columns are named
-    ``{column}_q{percent}``.  With ``small_groups`` (the caller has checked the sizes, see
-    :func:`groups_fit`) one aggregate per group does the work; otherwise groups are cut into buckets.
+    ``{column}_q{percent}``.
     """
     keys = list(keys)
-    if small_groups:
-        raw = df.groupBy(*keys).agg(*[
-            F.expr(f"percentile({_usable(c)}, array({', '.join(f'{float(p)}D' for p in probs)}))").alias(f"_q{i}")
-            for i, (c, probs) in enumerate(spec.items())])
-        return raw.selectExpr(*[f"`{k}`" for k in keys], *[
-            f"_q{i}[{j}] AS `{quantile_name(c, p)}`"
-            for i, (c, probs) in enumerate(spec.items()) for j, p in enumerate(probs)])
     entries = ", ".join(f"named_struct('m', {i}, 'v', {_usable(c)})" for i, c in enumerate(spec))
     hist = (df.selectExpr(*[f"`{k}`" for k in keys], f"inline(array({entries})) AS (_m, _v)")
             .where("_v IS NOT NULL").groupBy(*keys, "_m", "_v").agg(F.count(F.lit(1)).alias("_n")))
@@ -131,21 +115,19 @@ def quantiles(df: DataFrame, keys: Sequence[str], spec: Mapping[str, Sequence[fl
             .selectExpr(*[f"`{k}`" for k in keys], *out))
 
 
-def medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
-            small_groups: bool = False) -> DataFrame:
+def medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Exact medians, named ``median_{column}``."""
-    q = quantiles(df, keys, {c: [0.5] for c in columns}, small_groups)
+    q = quantiles(df, keys, {c: [0.5] for c in columns})
     return q.select(*keys, *[F.col(quantile_name(c, 0.5)).alias(f"median_{c}") for c in columns])
 
 
-def median_and_mad(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
-                   small_groups: bool = False) -> DataFrame:
+def median_and_mad(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Median and unscaled median absolute deviation: two exact passes."""
     keys = list(keys)
-    med = medians(df, keys, columns, small_groups)
+    med = medians(df, keys, columns)
     dev = attach(df.select(*keys, *columns), med, keys).selectExpr(
         *[f"`{k}`" for k in keys], *[f"abs(`{c}` - `median_{c}`) AS `{c}`" for c in columns])
-    mad = medians(dev, keys, columns, small_groups).select(
+    mad = medians(dev, keys, columns).select(
         *keys, *[F.col(f"median_{c}").alias(f"mad_{c}") for c in columns])
     return attach(med, mad, keys)
 

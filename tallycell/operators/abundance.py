@@ -115,7 +115,8 @@ def neighbourhood_test(counts: DataFrame, samples: DataFrame, arm: str, arm_a: s
     """Quasi-Poisson test of each neighbourhood between two arms, offset by library size.
 
     A neighbourhood is one row with an array over the samples, so fits run batch-wise on the executors; the
-    dispersion is shared: the median Pearson ratio, at least one.
+    dispersion is shared: the median Pearson ratio, at least one.  A neighbourhood of fewer than five cells isn't
+    fitted: it stays with a p and an FDR of one.
     """
     libs = counts.groupBy(sample).agg(F.sum("n").alias("lib"))
     info = samples.select(sample, F.col(arm).alias("arm"), *covariates).join(libs, sample).orderBy(sample).collect()
@@ -141,18 +142,22 @@ def neighbourhood_test(counts: DataFrame, samples: DataFrame, arm: str, arm_a: s
                     if e["s"] in where:
                         y[i, where[e["s"]]] = e["n"]
             keep = y.sum(axis=1) >= 5
+            out = pd.DataFrame({"nhood": pdf["nhood"], "coef": 0.0, "se": np.nan, "phi": np.nan})
             if keep.any():
                 beta, cov, mu = _irls(y[keep], x, offset, np.zeros(keep.sum()))
-                phi = ((y[keep] - mu) ** 2 / mu).sum(axis=1) / max(len(info) - x.shape[1], 1)
-                yield pd.DataFrame({"nhood": pdf["nhood"][keep], "coef": beta[:, -1], "se": np.sqrt(cov[:, -1, -1]), "phi": phi})
+                out.loc[keep, "coef"], out.loc[keep, "se"] = beta[:, -1], np.sqrt(cov[:, -1, -1])
+                out.loc[keep, "phi"] = ((y[keep] - mu) ** 2 / mu).sum(axis=1) / max(len(info) - x.shape[1], 1)
+            yield out
 
     rows = counts.groupBy("nhood").agg(F.collect_list(F.struct(F.col(sample).alias("s"), "n")).alias("by_sample"))
     kind = dict(counts.dtypes)["nhood"]
     fits = checkpointed(rows.mapInPandas(fit, f"nhood {kind}, coef double, se double, phi double"))
     shared = quantiles(fits, [], {"phi": [0.5]}).select(F.greatest(F.lit(1.0), "phi_q50").alias("phi_common"))
     z = F.col("coef") / (F.col("se") * F.sqrt("phi_common"))
-    tested = attach(fits, shared, []).select("nhood", (F.col("coef") / float(np.log(2))).alias("lfc"), z.alias("z"))
-    return adjust_bh(tested.withColumn("pval", two_sided_normal_p("z")), [], "pval", "fdr")
+    few = F.isnan("se")
+    tested = attach(fits, shared, []).select("nhood", (F.col("coef") / float(np.log(2))).alias("lfc"), F.when(~few, z).alias("z"))
+    adjusted = adjust_bh(tested.withColumn("pval", two_sided_normal_p("z")), [], "pval", "fdr")
+    return adjusted.select("nhood", "lfc", "z", F.coalesce("pval", F.lit(1.0)).alias("pval"), F.coalesce("fdr", F.lit(1.0)).alias("fdr"))
 
 
 def neighbourhood_labels(members: DataFrame, obs: DataFrame, label: str = "label", mix_thresh: float = 0.7) -> DataFrame:

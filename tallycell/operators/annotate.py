@@ -178,7 +178,7 @@ def label_composition(obs: DataFrame, label: str = "label", sample: str = "sampl
 
 def contamination_audit(lognorm: DataFrame, counts: DataFrame, obs: DataFrame, var: DataFrame, gene_sets: DataFrame,
                         weights: DataFrame, scores: DataFrame, pairs: DataFrame, native: DataFrame,
-                        label: str = "label", min_cells: int = 20, small_groups: bool = False) -> DataFrame:
+                        label: str = "label", min_cells: int = 20) -> DataFrame:
     """One row per label: contamination score, the likely cause and what to do about it."""
     from tallycell.operators.qc import detected_markers, present_sets
     from tallycell.operators.score import every_cell
@@ -190,7 +190,7 @@ def contamination_audit(lognorm: DataFrame, counts: DataFrame, obs: DataFrame, v
     dominant = foreign.groupBy(label).agg(F.max("fraction").alias("max_foreign"), worst.alias("dominant"))
     values = (full.join(obs.select("cell_id", label), "cell_id")
               .join(dominant.select(label, F.col("dominant").alias("set_name")), [label, "set_name"]))
-    quart = quantiles(values, [label], {"score": [0.25, 0.75]}, small_groups)
+    quart = quantiles(values, [label], {"score": [0.25, 0.75]})
     spread = values.groupBy(label).agg(F.stddev_pop("score").alias("sd")).join(quart, label).select(
         label, F.when(F.col("sd") > 0, (F.col("score_q75") - F.col("score_q25")) / (F.col("sd") + 1e-9))
         .otherwise(0.0).alias("bimodality"))
@@ -204,8 +204,11 @@ def contamination_audit(lognorm: DataFrame, counts: DataFrame, obs: DataFrame, v
              .when((d > 0.25) & (f > 0.2), "doublet")
              .when((f > 0.35) & (b > 1.2) & (d < 0.25), "mixed_cluster")
              .when((f > 0.10) & (f <= 0.35) & (b <= 1.2), "true_biology").otherwise("clean"))
+    action = (F.when(cause == "ambient", "estimate ambient signal").when(cause == "doublet", "test doublet enrichment by cluster")
+              .when(cause == "mixed_cluster", "subcluster and label anew").when(cause == "true_biology", "keep and note the shared program")
+              .otherwise("none"))
     return table.withColumn("contamination_score", 0.5 * f + 0.35 * x + 0.15 * F.least(d * 3, F.lit(1.0))) \
-        .withColumn("likely_cause", cause)
+        .withColumn("likely_cause", cause).withColumn("recommended_action", action)
 
 
 def refinement_plan(audit: DataFrame, threshold: float = 0.2, round_no: int = 1, base_resolution: float = 0.4,

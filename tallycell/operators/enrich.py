@@ -105,21 +105,33 @@ def observed_enrichment(ranked: DataFrame, gene_sets: DataFrame, keys: Sequence[
     return es.where(F.col("n_hits").between(min_size, max_size))
 
 
+def _distinct_positions(draws: DataFrame, keys: list[str], seed: int) -> DataFrame:
+    """``n_hits`` of the places 1..n for every (set, permutation), all sets of places equally likely: for j over the last n_hits
+    places, a place up to j is drawn, and j itself is taken where that one is taken already."""
+    def add(taken: Column, j: Column) -> Column:
+        text = F.concat_ws(":", F.lit(seed), "set_name", "perm", j)
+        place = F.pmod(F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("bigint"), j) + 1
+        return F.concat(taken, F.array(F.when(F.array_contains(taken, place), j).otherwise(place)))
+
+    last = F.sequence(F.col("n") - F.col("n_hits") + 1, F.col("n"))
+    places = F.aggregate(last, F.array().cast("array<bigint>"), add)
+    return draws.select(*keys, "set_name", "perm", F.explode(places).alias("pos"))
+
+
 def preranked_enrichment(ranked: DataFrame, gene_sets: DataFrame, n_perm: int = 1000, keys: Sequence[str] = ("label",),
                          min_size: int = 10, max_size: int = 500, seed: int = 0) -> DataFrame:
     """Normalised enrichment with permutation p and BH.
 
-    A permutation draws random positions of the set's size by hashing (set, permutation, member number), so
-    each permuted running sum costs the size of the set, and permutations spread over the cluster.
+    A permutation draws positions without replacement by md5 of (seed, set, permutation, place), so a permuted
+    set is as large as the set it is compared with; each running sum costs the size of the set, and permutations
+    spread over the cluster.  FDR is the step-up adjustment of p.
     """
     keys = list(keys)
     pos = checkpointed(_positions(ranked, keys))
     obs = checkpointed(observed_enrichment(ranked, gene_sets, keys, min_size, max_size))
     draws = obs.select(*keys, "set_name", "n_hits", F.explode(F.sequence(F.lit(1), F.lit(n_perm))).alias("perm"))
-    drawn = draws.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n_hits").cast("int"))))
-    sizes = pos.groupBy(*keys).agg(F.max("n_ranked").alias("n"))
-    slot = F.pmod(F.xxhash64(F.lit(seed), "set_name", "perm", "i"), F.col("n")) + 1
-    placed = drawn.join(sizes, keys).withColumn("pos", slot).select(*keys, "set_name", "perm", "pos").distinct()
+    sizes = pos.groupBy(*keys).agg(F.max("n_ranked").cast("bigint").alias("n"))
+    placed = _distinct_positions(draws.join(sizes, keys), keys, seed)
     fake = placed.join(pos.select(*keys, "pos", "gene_id", "metric", "n_ranked"), [*keys, "pos"])
     part = [*keys, "set_name", "perm"]
     fake = fake.withColumn("_w", F.abs("metric"))

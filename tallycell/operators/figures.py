@@ -59,10 +59,10 @@ def state_space(cells: DataFrame, x: str, y: str, group: str = "label") -> DataF
                     F.degrees(F.atan2(2 * F.col("vxy"), F.col("vxx") - F.col("vyy")) / 2).alias("angle"))
 
 
-def colour_limits(scores: DataFrame, centre: float = 0.0, small_groups: bool = False) -> DataFrame:
+def colour_limits(scores: DataFrame, centre: float = 0.0) -> DataFrame:
     """99th percentile of the distance from the centre, per score."""
     v = scores.select("set_name", F.abs(F.col("score") - centre).alias("a"))
-    return quantiles(v, ["set_name"], {"a": [0.99]}, small_groups).select("set_name", F.col("a_q99").alias("colour_limit"))
+    return quantiles(v, ["set_name"], {"a": [0.99]}).select("set_name", F.col("a_q99").alias("colour_limit"))
 
 
 def facet_counts(obs: DataFrame, facets: Sequence[str], highlight: str, value: str) -> DataFrame:

@@ -129,7 +129,7 @@ def top_markers(tested: DataFrame, group: str = "label", n: int = 10, strata: Se
 
 
 def cluster_qc(metrics: DataFrame, cluster: str = "label", sample: str = "sample",
-               called: str = "predicted_doublet", small_groups: bool = False) -> DataFrame:
+               called: str = "predicted_doublet") -> DataFrame:
     """Size, medians, doublet share, sample entropy and dominant sample of each cluster, with flags."""
     from tallycell.functions.order_stats import attach, medians
     cols = ["n_genes", "total_counts", "pct_counts_mt"]
@@ -144,7 +144,7 @@ def cluster_qc(metrics: DataFrame, cluster: str = "label", sample: str = "sample
         (-F.sum(p * F.log(p))).alias("sample_entropy"),
         F.min_by(sample, F.struct(-F.col("n"), F.col(sample))).alias("dominant_sample"),
         F.max(p).alias("dominant_sample_frac"))
-    table = attach(attach(sizes.join(mix, cluster).join(medians(metrics, [cluster], cols, small_groups), cluster),
+    table = attach(attach(sizes.join(mix, cluster).join(medians(metrics, [cluster], cols), cluster),
                           whole, []), n_samples, [])
     several = F.col("n_samples") > 1
     return table.select(

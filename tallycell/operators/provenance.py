@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Sequence
 
@@ -12,22 +13,26 @@ from tallycell.knowledge import fixed
 from tallycell.session import checkpointed
 
 
-def lineage(datasets: DataFrame, start: object, max_depth: int = 64) -> DataFrame:
-    """Ancestors and descendants of a dataset: ``(dataset_id, relation, depth)``.
+def lineage(datasets: DataFrame, start: object) -> DataFrame:
+    """Ancestors and descendants of a dataset, to the end of the chain: ``(dataset_id, relation, depth)``.
 
-    Each pass follows one generation from the frontier with a semi-sized join; it stops when no new row
-    appears.
+    Each pass follows one generation from the frontier with a semi-sized join and leaves out what was seen
+    before, so that a cycle ends it like any last generation.
     """
     edges = datasets.select(F.col("dataset_id").cast("string").alias("id"), F.col("parent_id").cast("string").alias("parent"))
     out = edges.where(F.col("id") == str(start)).select("id", F.lit("self").alias("relation"), F.lit(0).alias("depth"))
     for relation, a, b in (("ancestor", "id", "parent"), ("descendant", "parent", "id")):
         frontier = edges.where(F.col("id") == str(start)).select("id")
-        for depth in range(1, max_depth + 1):
+        seen = frontier
+        for depth in itertools.count(1):
             step = edges.join(frontier.withColumnRenamed("id", a), a).where(F.col(b).isNotNull()).select(F.col(b).alias("id")).distinct()
-            frontier = checkpointed(step)
+            frontier = checkpointed(step.join(seen, "id", "left_anti"))
             if frontier.isEmpty():
                 break
-            out = out.union(frontier.select("id", F.lit(relation), F.lit(depth)))
+            seen = seen.union(frontier)
+            out = out.union(frontier.select("id", F.lit(relation).alias("relation"), F.lit(depth).alias("depth")))
+            if depth % 16 == 0:  # long chains: keep the plans short
+                seen, out = checkpointed(seen), checkpointed(out)
     return out.withColumnRenamed("id", "dataset_id")
 
 

@@ -62,18 +62,17 @@ def expected_doublet_rate(n: Column) -> Column:
     return rate.otherwise(F.least(F.lit(fixed.MULTIPLET_CEILING), beyond))
 
 
-def sample_stats(metrics: DataFrame, sample: str = "sample", small_groups: bool = False) -> DataFrame:
+def sample_stats(metrics: DataFrame, sample: str = "sample") -> DataFrame:
     """Per-sample size, medians, unscaled MADs, quantile ladders and expected doublet rate."""
     ladder = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
     deep = ["n_genes", "total_counts"]
     others = [c for c in metrics.columns if c.startswith(("pct_counts_", "frac_")) or c == "complexity"]
-    q = quantiles(metrics, [sample], {**{c: ladder for c in deep}, **{c: [0.5] for c in others}},
-                  small_groups)
+    q = quantiles(metrics, [sample], {**{c: ladder for c in deep}, **{c: [0.5] for c in others}})
     medians = q.select(sample, *[F.col(quantile_name(c, 0.5)).alias(f"median_{c}") for c in deep + others],
                        *[F.col(quantile_name(c, p)) for c in deep for p in ladder])
     dev = metrics.join(medians.select(sample, *[f"median_{c}" for c in deep]), sample).select(
         sample, *[F.abs(F.col(c) - F.col(f"median_{c}")).alias(c) for c in deep])
-    mads = quantiles(dev, [sample], {c: [0.5] for c in deep}, small_groups).select(
+    mads = quantiles(dev, [sample], {c: [0.5] for c in deep}).select(
         sample, *[F.col(quantile_name(c, 0.5)).alias(f"mad_{c}") for c in deep])
     sizes = metrics.groupBy(sample).agg(F.count(F.lit(1)).alias("n_cells"))
     return (sizes.join(medians, sample, "left").join(mads, sample, "left")
@@ -143,7 +142,7 @@ def cohort_range(stats: DataFrame) -> DataFrame:
 
 
 def mad_bounds(metrics: DataFrame, keys: Sequence[str], log_scale: Mapping[str, bool],
-               n_mads: float = 3.0, small_groups: bool = False) -> DataFrame:
+               n_mads: float = 3.0) -> DataFrame:
     """Lower and upper outlier bounds per group: ``{column}_lo`` and ``{column}_hi``.
 
     Columns marked True are judged on the log1p scale and mapped back.
@@ -152,7 +151,7 @@ def mad_bounds(metrics: DataFrame, keys: Sequence[str], log_scale: Mapping[str,
     moved = metrics.select(*keys, *[
         (F.log1p(F.col(c)) if logged else F.col(c).cast("double")).alias(c)
         for c, logged in log_scale.items()])
-    mm = median_and_mad(moved, keys, list(log_scale), small_groups)
+    mm = median_and_mad(moved, keys, list(log_scale))
     out = []
     for c, logged in log_scale.items():
         half = n_mads * MAD_TO_SIGMA * F.col(f"mad_{c}")
@@ -170,12 +169,12 @@ class Thresholds(NamedTuple):
 
 def recommend_thresholds(metrics: DataFrame, method: str = "mad", n_mads: float = 3.0,
                          organism: str = "mouse", chemistry: str = "10x_3prime_v3",
-                         sample: str = "sample", small_groups: bool = False) -> Thresholds:
+                         sample: str = "sample") -> Thresholds:
     """Threshold proposals from robust bounds, a chemistry preset, or the stricter of both."""
     preset = dict(zip([k for k, _, _ in THRESHOLD_ORDER], fixed.QC_PRESETS[organism][chemistry]))
     mito_ok = chemistry not in fixed.MITO_NOT_VIABILITY
     b = mad_bounds(metrics, [sample], {"n_genes": True, "total_counts": True, "pct_counts_mt": False},
-                   n_mads, small_groups)
+                   n_mads)
 
     def whole(c: Column) -> Column:
         return c.cast("bigint")
@@ -367,7 +366,7 @@ def soup_profile(counts: DataFrame, obs: DataFrame, sample: str = "sample") -> D
 
 
 def ambient_fraction(counts: DataFrame, obs: DataFrame, gene_sets: DataFrame,
-                     soup: DataFrame, sample: str = "sample", small_groups: bool = False) -> DataFrame:
+                     soup: DataFrame, sample: str = "sample") -> DataFrame:
     """Contamination share per sample.
 
     For each cell the sets it does not express (fewer than two genes detected) act as negative
@@ -390,7 +389,7 @@ def ambient_fraction(counts: DataFrame, obs: DataFrame, gene_sets: DataFrame,
     rho = (cells.join(totals, "cell_id").join(all_soup, sample).join(per_cell, "cell_id", "left")
            .withColumn("expected", expected).where(F.col("expected") > 1e-12)
            .select(sample, F.least(F.lit(1.0), F.coalesce("observed", F.lit(0)) / F.col("expected")).alias("rho")))
-    med = quantiles(rho, [sample], {"rho": [0.5]}, small_groups).select(sample, F.col("rho_q50").alias("median_rho"))
+    med = quantiles(rho, [sample], {"rho": [0.5]}).select(sample, F.col("rho_q50").alias("median_rho"))
     return rho.groupBy(sample).agg(F.avg("rho").alias("mean_rho")).join(med, sample)
 
 
@@ -405,10 +404,9 @@ def remove_ambient(counts: DataFrame, obs: DataFrame, soup: DataFrame, rho: Data
 
 
 def figure_quantiles(metrics: DataFrame, columns: Sequence[str], sample: str = "sample",
-                     probs: Sequence[float] = (0.0, 0.25, 0.5, 0.75, 1.0),
-                     small_groups: bool = False) -> DataFrame:
+                     probs: Sequence[float] = (0.0, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
     """Distribution data per sample and metric in long form: ``(sample, metric, prob, value)``."""
-    q = quantiles(metrics, [sample], {c: probs for c in columns}, small_groups)
+    q = quantiles(metrics, [sample], {c: probs for c in columns})
     cells = [F.struct(F.lit(c).alias("metric"), F.lit(float(p)).alias("prob"),
                       F.col(quantile_name(c, p)).alias("value")) for c in columns for p in probs]
     return (q.select(sample, F.explode(F.array(*cells)).alias("e"))

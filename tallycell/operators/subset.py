@@ -19,7 +19,7 @@ def extract_labels(obs: DataFrame, counts: DataFrame, label: str, keep: Sequence
                    drop_columns: Sequence[str] = ()) -> Extracted:
     """Cells of the given labels with raw counts; inherited cluster columns become ``parent_*``."""
     chosen = obs.where(F.col(label).isin(list(keep)))
-    names = [F.col(c).alias(f"parent_{c}" if re.match(r"^(leiden|louvain)([_.]|$)", c) else c)
+    names = [F.col(c).alias(f"parent_{c}" if re.match(r"^(leiden|louvain)([_.]|$)", c, re.IGNORECASE) else c)
              for c in chosen.columns if c not in drop_columns]
     return Extracted(chosen.select(*names), counts.join(chosen.select("cell_id"), "cell_id", "left_semi"))
 

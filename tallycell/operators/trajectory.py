@@ -64,7 +64,8 @@ def fate_probabilities(edges: DataFrame, cells: DataFrame, time: str = "timepoin
     """Probability of ending in each final label when steps lead only from one time to the next.
 
     ``edges`` are weighted neighbours ``(src, dst, weight)``; cells of the last time are absorbed by their
-    own label.  One backward pass per time step: ``(cell_id, fate, p)``.
+    own label.  One backward pass per time step: ``(cell_id, fate, p)``.  A cell without a time or without an
+    onward path has one row with a NULL fate.
     """
     t = checkpointed(cells.select("cell_id", first_number(time).alias("t"), F.col(label).alias("fate")).where("t IS NOT NULL"))
     times = [r[0] for r in t.select("t").distinct().orderBy("t").collect()]
@@ -79,11 +80,13 @@ def fate_probabilities(edges: DataFrame, cells: DataFrame, time: str = "timepoin
         norm = mass.groupBy("src").agg(F.sum("m").alias("s"))
         reached = checkpointed(mass.join(norm, "src").select(F.col("src").alias("cell_id"), "fate", (F.col("m") / F.col("s")).alias("p")))
         result = result.union(reached)
-    return result
+    result = checkpointed(result)
+    lost = cells.select("cell_id").join(result.select("cell_id"), "cell_id", "left_anti")
+    return result.union(lost.select("cell_id", F.lit(None).cast("string").alias("fate"), F.lit(None).cast("double").alias("p")))
 
 
 def pseudotime_genes(lognorm: DataFrame, cells: DataFrame, pseudotime: str, min_share: float = 0.10,
-                     max_genes: int = 4000, min_rho: float = 0.2) -> DataFrame:
+                     max_genes: int | None = None, min_rho: float = 0.2) -> DataFrame:
     """Spearman correlation of genes with pseudotime, zeros included.
 
     Ranks of the non-zero entries are shifted by the zeros; the zeros' contribution follows from the total of
@@ -94,8 +97,10 @@ def pseudotime_genes(lognorm: DataFrame, cells: DataFrame, pseudotime: str, min_
     x = lognorm.join(p.select("cell_id", "rp"), "cell_id")
     stats = attach(x.groupBy("gene_id").agg(F.count(F.lit(1)).alias("k"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss")), whole, [])
     mean = F.col("s") / F.col("n")
-    chosen = stats.where(F.col("k") / F.col("n") > min_share).withColumn("v", F.col("ss") / F.col("n") - mean * mean).orderBy(
-        F.desc(F.round("v", 9)), "gene_id").limit(max_genes).select("gene_id", "k", "n", "mp", "vp")
+    chosen = stats.where(F.col("k") / F.col("n") > min_share).withColumn("v", F.col("ss") / F.col("n") - mean * mean)
+    if max_genes is not None:
+        chosen = chosen.orderBy(F.desc(F.round("v", 9)), "gene_id").limit(max_genes)
+    chosen = chosen.select("gene_id", "k", "n", "mp", "vp")
     chosen = checkpointed(chosen)
     r = average_ranks(checkpointed(x.join(chosen, "gene_id")), ["gene_id"], "x", "rx")
     zeros = F.col("n") - F.col("k")

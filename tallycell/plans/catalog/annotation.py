@@ -241,11 +241,13 @@ _AUDIT_COLS = ["doublet_fraction", "dominant_sample_frac", "max_excess", "max_fo
 def _audit(d):
     w = weights(d)
     return annotate.contamination_audit(d.lognorm, d.counts, _called(d), d.var, d.gene_sets, w, scores(d, w), d.pairs,
-                                        d.native, small_groups=d.samples_fit)
+                                        d.native)
 
 
 @query("annotate_contamination_audit", sql(
-    "SELECT label, n_cells, dominant_sample, dominant, likely_cause, " + r("ar") + " AS ambient_r, "
+    "SELECT label, n_cells, dominant_sample, dominant, likely_cause, CASE likely_cause WHEN 'ambient' THEN 'estimate ambient signal' "
+    "WHEN 'doublet' THEN 'test doublet enrichment by cluster' WHEN 'mixed_cluster' THEN 'subcluster and label anew' "
+    "WHEN 'true_biology' THEN 'keep and note the shared program' ELSE 'none' END AS recommended_action, " + r("ar") + " AS ambient_r, "
     + ", ".join(f"{r(c)} AS {c}" for c in _AUDIT_COLS) + " FROM audit", *AUDIT_USES, **AUDIT_STEPS, dom=_DOM, audit=_AUDIT))
 def _(d):
     return six(_audit(d))
@@ -298,6 +300,5 @@ def _(d):
 
 @query("subset_subcluster")
 def _(d):
-    out = subcluster(d.obs, d.counts, d.var, "label", ["BUILDING", "MACHINERY"], "batch", n_hvg=100, n_comps=5,
-                     rounds=2, levels=2)
+    out = subcluster(d.obs, d.counts, d.var, "label", ["BUILDING", "MACHINERY"], "batch")
     return out.obs.select("cell_id", "label", F.col("leiden_res0_5").alias("cluster"))

@@ -42,12 +42,12 @@ def _(d):
 
 @query("graph_communities")
 def _(d):
-    return graph.communities(edges(d), 1.0, rounds=4, levels=2)
+    return graph.communities(edges(d), 1.0)
 
 
 @query("graph_resolution_sweep")
 def _(d):
-    return six(graph.resolution_sweep(d.embedding, edges(d), [1.0], n_boot=1, rounds=2, levels=2))
+    return six(graph.resolution_sweep(d.embedding, edges(d), [1.0], n_boot=1))
 
 
 _LISI = """SELECT src AS cell_id, sum(n) * sum(n) / sum(n * n) AS lisi FROM (SELECT src, emb.{} AS level,
@@ -164,4 +164,4 @@ def _(d):
         FROM metrics GROUP BY 1, 2) GROUP BY 1) USING (label)""", "metrics"))
 def _(d):
     m = d.metrics.withColumn("predicted_doublet", F.col("score") > 8000)
-    return six(markers.cluster_qc(m, small_groups=d.samples_fit))
+    return six(markers.cluster_qc(m))

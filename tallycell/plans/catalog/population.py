@@ -173,9 +173,10 @@ def _back(t, later):
 
 
 @query("trajectory_fates", sql(
-    f"SELECT cell_id, fate, {r('p')} AS p FROM (SELECT * FROM f4 UNION ALL SELECT * FROM f3 UNION ALL SELECT * FROM f2 UNION ALL SELECT * FROM f1)",
+    f"SELECT cell_id, fate, {r('p')} AS p FROM fa UNION ALL SELECT cell_id, NULL, NULL FROM emb ANTI JOIN fa USING (cell_id)",
     "emb", knn=KNN, step=_STEP, f4="SELECT cell_id, label AS fate, 1.0::DOUBLE AS p FROM emb WHERE timepoint = 'D4'",
-    f3=_back(3, "f4"), f2=_back(2, "f3"), f1=_back(1, "f2")))
+    f3=_back(3, "f4"), f2=_back(2, "f3"), f1=_back(1, "f2"),
+    fa="SELECT * FROM f4 UNION ALL SELECT * FROM f3 UNION ALL SELECT * FROM f2 UNION ALL SELECT * FROM f1"))
 def _(d):
     e = graph.neighbour_graph(d.embedding, 15).withColumn("weight", 1 / (1 + F.col("dist")))
     return six(trajectory.fate_probabilities(checkpointed(e), d.embedding))
@@ -190,26 +191,25 @@ _SP = """SELECT gene_id, corr(rx, rp) AS rho FROM (SELECT gene_id, rp, rank() OV
     f"SELECT gene_id, {r('rho')} AS rho FROM ({_SP}) WHERE abs(rho) >= 0.01", "ln", "obs",
     pt="SELECT cell_id, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE AS rp FROM obs",
     ch="""SELECT gene_id FROM (SELECT gene_id, sum(x) AS s, sum(x * x) AS ss, (SELECT count(*) FROM obs)::DOUBLE AS n FROM ln GROUP BY 1
-      HAVING count(*) / (SELECT count(*) FROM obs)::DOUBLE > 0.02) ORDER BY round(ss / n - (s / n) ** 2, 9) DESC, gene_id LIMIT 200"""))
+      HAVING count(*) / (SELECT count(*) FROM obs)::DOUBLE > 0.02)"""))
 def _(d):
-    return six(trajectory.pseudotime_genes(d.lognorm, d.obs, "score", min_share=0.02, max_genes=200, min_rho=0.01))
+    return six(trajectory.pseudotime_genes(d.lognorm, d.obs, "score", min_share=0.02, min_rho=0.01))
 
 
 @query("trajectory_binned_expression", sql(
     f"""SELECT gene_id, bin, {r('m')} AS mean, {r('(m - avg(m) OVER (PARTITION BY gene_id)) / (stddev_pop(m) OVER (PARTITION BY gene_id) + 1e-9)', 5)} AS z FROM (
       SELECT gene_id, bin, sum(coalesce(x, 0)) / count(*) AS m FROM (SELECT * FROM tg, b) LEFT JOIN ln USING (gene_id, cell_id) GROUP BY 1, 2)""", "ln", "obs",
-    tg="SELECT gene_id FROM counts GROUP BY 1 ORDER BY sum(n) DESC, gene_id LIMIT 20",
+    tg="SELECT DISTINCT gene_id FROM counts",
     b="""SELECT cell_id, CAST(len(list_filter((SELECT quantile_cont(score, [0.25, 0.5, 0.75]) FROM obs), lambda c: c <= score)) AS INT) AS bin FROM obs"""))
 def _(d):
-    top = d.counts.groupBy("gene_id").agg(F.sum("count").alias("t")).orderBy(F.desc("t"), "gene_id").limit(20).select("gene_id")
-    out = trajectory.binned_expression(d.lognorm, d.obs, "score", checkpointed(top), 4)
+    out = trajectory.binned_expression(d.lognorm, d.obs, "score", checkpointed(d.counts.select("gene_id").distinct()), 4)
     return six(out.withColumn("z", F.round("z", 5)))
 
 
-# Ligand-receptor pairs: gene i with genes i+1 (and i+2 for every third pair, as a complex), i a multiple of ten.
-_PAIRS = """SELECT gene_id AS pair_id, 'ligand' AS side, gene_id FROM var WHERE gene_id % 10 = 0
-    UNION ALL SELECT gene_id, 'receptor', gene_id + 1 FROM var WHERE gene_id % 10 = 0
-    UNION ALL SELECT gene_id, 'receptor', gene_id + 2 FROM var WHERE gene_id % 30 = 0"""
+# Ligand-receptor pairs: gene i with genes i+1 (and i+2 for every third pair, as a complex).
+_PAIRS = """SELECT gene_id AS pair_id, 'ligand' AS side, gene_id FROM var
+    UNION ALL SELECT gene_id, 'receptor', gene_id + 1 FROM var
+    UNION ALL SELECT gene_id, 'receptor', gene_id + 2 FROM var WHERE gene_id % 3 = 0"""
 _LRS = """SELECT context, l.label AS source, r.label AS target, pair_id, (l.m + r.m) / 2 AS lr_means, l.m * r.m AS expr_prod FROM
       (SELECT * FROM sided WHERE side = 'ligand') l JOIN (SELECT * FROM sided WHERE side = 'receptor') r USING (context, pair_id)"""
 _LR_STEPS = {
@@ -224,10 +224,10 @@ _LR_STEPS = {
 
 def lr(d):
     obs = d.obs.withColumn("context", F.when(F.col("condition").isin("AFRICA", "ASIA"), "A").otherwise("B"))
-    base = d.var.where("gene_id % 10 = 0").select(F.col("gene_id").alias("pair_id"))
+    base = d.var.select(F.col("gene_id").alias("pair_id"))
     pairs = base.select("pair_id", F.lit("ligand").alias("side"), F.col("pair_id").alias("gene_id")).union(
         base.select("pair_id", F.lit("receptor"), F.col("pair_id") + 1)).union(
-        base.where("pair_id % 30 = 0").select("pair_id", F.lit("receptor"), F.col("pair_id") + 2))
+        base.where("pair_id % 3 = 0").select("pair_id", F.lit("receptor"), F.col("pair_id") + 2))
     kept, _ = communication.population_floor(obs, "label", ["context"], 100)
     stats = communication.gene_by_label(d.lognorm, obs, pairs.select("gene_id").distinct(), kept, "label", ["context"])
     return checkpointed(communication.pair_scores(stats, pairs, ["context"], 0.02))
@@ -279,15 +279,14 @@ def _(d):
     return atlas.inventory(d.obs, ["label", "condition"], "sample")
 
 
-_TOP = "SELECT gene_id FROM counts GROUP BY 1 ORDER BY sum(n) DESC, gene_id LIMIT 40"
+_TOP = "SELECT DISTINCT gene_id FROM counts"
 _GE = """SELECT gene_id, label, nc AS n_cells, coalesce(s, 0) / nc AS mean, coalesce(k, 0)::DOUBLE / nc AS fraction FROM tg
     JOIN (SELECT label, count(*) AS nc FROM obs GROUP BY 1) ON true
     LEFT JOIN (SELECT gene_id, label, sum(x) AS s, count(*) AS k FROM ln JOIN obs USING (cell_id) GROUP BY 1, 2) USING (gene_id, label)"""
 
 
 def expression(d):
-    top = d.counts.groupBy("gene_id").agg(F.sum("count").alias("t")).orderBy(F.desc("t"), "gene_id").limit(40).select("gene_id")
-    return checkpointed(atlas.group_expression(d.lognorm, d.obs, checkpointed(top)))
+    return checkpointed(atlas.group_expression(d.lognorm, d.obs, checkpointed(d.counts.select("gene_id").distinct())))
 
 
 @query("atlas_group_expression", sql(

@@ -56,7 +56,7 @@ def _(d):
     "SELECT sample, n_cells, expected_doublet_rate, " + ", ".join(f"{r(c)} AS {c}" for c in _STAT_COLS)
     + " FROM stats", "metrics", stats=STATS))
 def _(d):
-    return six(qc.sample_stats(d.metrics, small_groups=d.samples_fit))
+    return six(qc.sample_stats(d.metrics))
 
 
 @query("qc_cohort_outliers", sql(
@@ -70,7 +70,7 @@ def _(d):
                             ("median_n_genes", "median_total_counts", "median_pct_counts_mt",
                              "median_complexity"))))
 def _(d):
-    return six(qc.cohort_outliers(qc.sample_stats(d.metrics, small_groups=d.samples_fit), n_mads=1.0))
+    return six(qc.cohort_outliers(qc.sample_stats(d.metrics), n_mads=1.0))
 
 
 _FLAGS = [("low_cell_count", "exclude_candidate", "n_cells", "n_cells < 200"),
@@ -88,7 +88,7 @@ _FLAGS = [("low_cell_count", "exclude_candidate", "n_cells", "n_cells < 200"),
     " UNION ALL ".join(f"SELECT sample, '{f}' AS flag, '{s}' AS severity, {r(f'{v}::DOUBLE')} AS value "
                        f"FROM stats WHERE {w}" for f, s, v, w in _FLAGS), "metrics", stats=STATS))
 def _(d):
-    return six(qc.rule_flags(qc.sample_stats(d.metrics, small_groups=d.samples_fit)))
+    return six(qc.rule_flags(qc.sample_stats(d.metrics)))
 
 
 _RANGE = ["n_cells", "median_n_genes", "median_total_counts", "median_pct_counts_mt", "median_frac_keratin",
@@ -99,7 +99,7 @@ _RANGE = ["n_cells", "median_n_genes", "median_total_counts", "median_pct_counts
     " UNION ALL ".join(f"SELECT '{c}' AS metric, {r(f'min({c}::DOUBLE)')} AS low, {r(f'median({c}::DOUBLE)')} AS mid, "
                        f"{r(f'max({c}::DOUBLE)')} AS high FROM stats" for c in _RANGE), "metrics", stats=STATS))
 def _(d):
-    return six(qc.cohort_range(qc.sample_stats(d.metrics, small_groups=d.samples_fit)))
+    return six(qc.cohort_range(qc.sample_stats(d.metrics)))
 
 
 @query("qc_expected_doublet_rate", sql(
@@ -137,12 +137,12 @@ _COHORT = """SELECT CAST(trunc(median(min_genes)) AS BIGINT) AS min_genes,
 
 @query("qc_thresholds_by_sample", sql(_PER_SAMPLE, "metrics", bounds=_BOUNDS))
 def _(d):
-    return qc.recommend_thresholds(d.metrics, small_groups=d.samples_fit).per_sample
+    return qc.recommend_thresholds(d.metrics).per_sample
 
 
 @query("qc_thresholds_cohort", sql(_COHORT, "metrics", bounds=_BOUNDS, per=_PER_SAMPLE))
 def _(d):
-    return qc.recommend_thresholds(d.metrics, small_groups=d.samples_fit).cohort
+    return qc.recommend_thresholds(d.metrics).cohort
 
 
 @query("qc_thresholds_both", sql(
@@ -151,7 +151,7 @@ def _(d):
       least(max_pct_mt, 10.0) AS max_pct_mt FROM cohort""",
     "metrics", bounds=_BOUNDS, per=_PER_SAMPLE, cohort=_COHORT))
 def _(d):
-    return qc.recommend_thresholds(d.metrics, method="both", small_groups=d.samples_fit).cohort
+    return qc.recommend_thresholds(d.metrics, method="both").cohort
 
 
 @query("qc_low_complexity_risk", sql(
@@ -252,7 +252,7 @@ _RHO = """SELECT sample, least(1.0, observed / expected) AS rho FROM (
     "obs", "tot", "sets", soup=_SOUP, rho=_RHO))
 def _(d):
     soup = qc.soup_profile(d.counts, d.obs)
-    return six(qc.ambient_fraction(d.counts, d.obs, d.gene_sets, soup, small_groups=d.samples_fit))
+    return six(qc.ambient_fraction(d.counts, d.obs, d.gene_sets, soup))
 
 
 @query("qc_ambient_corrected", sql(
@@ -263,7 +263,7 @@ def _(d):
     "obs", "tot", "sets", soup=_SOUP, rho=_RHO))
 def _(d):
     soup = qc.soup_profile(d.counts, d.obs)
-    rho = qc.ambient_fraction(d.counts, d.obs, d.gene_sets, soup, small_groups=d.samples_fit)
+    rho = qc.ambient_fraction(d.counts, d.obs, d.gene_sets, soup)
     fixed = qc.remove_ambient(d.counts, d.obs, soup, rho)
     return (fixed.join(d.obs.select("cell_id", "sample"), "cell_id").groupBy("sample")
             .agg(F.sum("count_raw").alias("before"), F.sum("count").alias("after")))
@@ -277,4 +277,4 @@ _FIG = {"n_genes": "n_genes", "total_counts": "total_counts", "pct_counts_mt": "
                        f"{r(f'quantile_cont({s}::DOUBLE, {p})')} AS value FROM metrics GROUP BY 1"
                        for c, s in _FIG.items() for p in (0.0, 0.25, 0.5, 0.75, 1.0)), "metrics"))
 def _(d):
-    return six(qc.figure_quantiles(d.metrics, list(_FIG), small_groups=d.samples_fit))
+    return six(qc.figure_quantiles(d.metrics, list(_FIG)))

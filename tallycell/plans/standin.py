@@ -12,7 +12,6 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallycell.functions.order_stats import groups_fit
 from tallycell.operators.normalize import log_normalize
 from tallycell.operators.qc import cell_metrics
 from tallycell.session import checkpointed
@@ -57,11 +56,6 @@ class Standin:
                                               (F.col("n_nationkey") % 3 + 1).cast("int"))).alias("timepoint"),
             F.col("c_acctbal").alias("score"))
 
-    @cached_property
-    def samples_fit(self) -> bool:
-        """Whether every sample and every label has few enough cells for one aggregate per group."""
-        return groups_fit(self.obs, ["sample"]) and groups_fit(self.obs, ["label"])
-
     @cached_property
     def metrics(self) -> DataFrame:
         """Per-cell QC metrics, written once for the passes that follow (a few numbers per cell)."""

@@ -20,7 +20,7 @@ class SubClusters(NamedTuple):
 
 def subcluster(obs: DataFrame, counts: DataFrame, var: DataFrame, label: str, keep: Sequence[str],
                batch: str | None = None, resolution: float = 0.5, n_hvg: int = 2000, n_comps: int = 30, k: int = 15,
-               exclude: DataFrame | None = None, rounds: int = 6, levels: int = 3) -> SubClusters:
+               exclude: DataFrame | None = None, correction_rounds: int = 20) -> SubClusters:
     """Extract labels, choose variable genes, reduce, correct for batch, build a graph, cluster and test.
 
     Correction is skipped when the batch column has fewer than two levels in the subset; ``exclude`` takes
@@ -39,9 +39,9 @@ def subcluster(obs: DataFrame, counts: DataFrame, var: DataFrame, label: str, ke
                                          n_comps).embedding
     corrected = batch is not None and part.obs.select(batch).distinct().limit(2).count() == 2
     if corrected:
-        emb = integrate.harmonize(emb.join(part.obs.select("cell_id", batch), "cell_id"), batch, max_iter=5)
+        emb = integrate.harmonize(emb.join(part.obs.select("cell_id", batch), "cell_id"), batch, max_iter=correction_rounds)
     edges = graph.connectivities(graph.neighbour_graph(emb, k))
-    clusters = graph.communities(edges, resolution, rounds, levels)
+    clusters = graph.communities(edges, resolution)
     name = graph.cluster_column(resolution)
     named = part.obs.join(clusters.withColumnRenamed("cluster", name), "cell_id", "left")
     tested = markers.rank_sum_test(normalize.log_normalize(raw), named.where(F.col(name).isNotNull()), var, name)

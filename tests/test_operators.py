@@ -127,7 +127,7 @@ def test_communities_recover_blobs(spark):
     v = np.vstack([rng.normal(c, 0.4, (40, 4)) for c in (0, 5, 10)])
     emb = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "cell_id bigint, v array<double>")
     w = graph.connectivities(graph.neighbour_graph(emb, 8))
-    c = graph.communities(w, 0.5, rounds=4, levels=3).toPandas().set_index("cell_id").sort_index()["cluster"]
+    c = graph.communities(w, 0.5).toPandas().set_index("cell_id").sort_index()["cluster"]
     truth = pd.Series(np.arange(120) // 40)
     purity = pd.crosstab(c, truth).max(axis=1).sum() / 120
     assert purity > 0.95 and c.nunique() <= 12

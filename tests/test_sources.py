@@ -34,14 +34,46 @@ def test_export_layout(spark, tmp_path):
     assert {r["cell_id"]: r["v"] for r in emb["pca"].collect()}["c2"] == [2.0, 3.0]
 
 
-def test_written_export_holds_every_entry(spark, tmp_path):
-    counts = spark.createDataFrame([("c1", "g1", 2), ("c2", "g3", 9)], "cell_id string, gene_id string, count bigint")
-    obs = spark.createDataFrame([("c1", "x"), ("c2", "y")], "cell_id string, label string")
-    var = spark.createDataFrame([("g1",), ("g2",), ("g3",)], "gene_id string")
-    triplets.write_export(counts, obs, var, str(tmp_path / "out"))
-    lines = sorted(r[0] for r in spark.read.text(str(tmp_path / "out" / "entries")).collect())
-    assert lines == ["1 1 2", "3 2 9"]
-    assert "3 2 2" in [r[0] for r in spark.read.text(str(tmp_path / "out" / "header")).collect()]
+def test_written_export_reads_back(spark, tmp_path):
+    counts = spark.createDataFrame([(f"c{i:03}", f"g{j:03}", i + j) for i in range(1, 80) for j in range(40) if (i * j) % 3 == 1], "cell_id string, gene_id string, count bigint")
+    obs = spark.createDataFrame([(f"c{i:03}", f"x{i % 3}") for i in range(80)], "cell_id string, label string")
+    var = spark.createDataFrame([(f"g{j:03}",) for j in range(40)], "gene_id string")
+    triplets.write_export(counts.repartition(5), obs.repartition(3), var.repartition(4), str(tmp_path / "out"))
+    back, cells, _ = triplets.load_export(spark, str(tmp_path / "out"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, counts.collect()))
+    assert sorted(map(tuple, cells.select("cell_id", "label").collect())) == sorted(map(tuple, obs.collect()))
+
+
+def test_lines_of_many_parts_are_numbered_in_file_order(spark, tmp_path):
+    want = []
+    for part, size in enumerate((3, 400, 1, 50)):  # the reader packs large parts first
+        lines = [f"p{part}-{i}" for i in range(size)]
+        (tmp_path / f"part-{part:05}.txt").write_text("\n".join(lines) + "\n")
+        want += lines
+    for width in ("100", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", width)
+        rows = sorted(triplets._numbered(spark, str(tmp_path), "line").collect())
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert [r.ix for r in rows] == list(range(1, len(want) + 1)) and [r.line for r in rows] == want
+
+
+def test_fractional_counts_are_refused_and_zeros_dropped(spark, tmp_path):
+    (tmp_path / "a.mtx").write_text("%%MatrixMarket\n2 2 2\n1 1 0.7\n2 2 3\n")
+    with pytest.raises(ValueError):
+        triplets.read_matrix(spark, str(tmp_path / "a.mtx"))
+    (tmp_path / "b.mtx").write_text("%%MatrixMarket\n2 2 2\n1 1 0\n2 2 3\n")
+    assert [tuple(r) for r in triplets.read_matrix(spark, str(tmp_path / "b.mtx")).collect()] == [(2, 2, 3.0)]
+
+
+def test_a_bundle_is_registered_once(spark, tmp_path):
+    first = triplets.save_bundle({"obs": spark.range(5)}, str(tmp_path), None, "load", {})
+    assert triplets.save_bundle({"obs": spark.range(9)}, str(tmp_path), None, "load", {}) == first
+    assert triplets.load_bundle(spark, str(tmp_path), first, "obs").count() == 5
+    assert spark.read.parquet(str(tmp_path / "catalogue")).count() == 1
+    triplets.export_table(spark, str(tmp_path), first, "obs", str(tmp_path / "elsewhere"))
+    assert spark.read.parquet(str(tmp_path / "elsewhere")).count() == 5
+    with pytest.raises(ValueError):
+        triplets.load_bundle(spark, str(tmp_path), "ds_none", "obs")
 
 
 def test_handles_repeat_and_bundles_round_trip(spark, tmp_path):
