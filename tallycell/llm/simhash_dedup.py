@@ -239,8 +239,9 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, width: int =
     asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     sets = written(plain.join(asked, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
                    .mapInArrow(_shingle_sets(width), "doc_id long, shingles array<long>"), "shingles")
-    left = attach(pairs, sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), ["a"], ["b"], "inner")
-    both = attach(left, sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), ["b"], ["a"], "inner")
+    # One row to a document on the right: a document in many pairs is split by Spark's own skew handling, without copies of its set.
+    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
+    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     alike = both.filter(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select(F.col("a").alias("node"), F.col("b").alias("root"))
     return components(alike).select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"))
