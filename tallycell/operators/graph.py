@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterator, Sequence
 
@@ -19,8 +18,6 @@ from tallycell.session import checkpointed
 
 EMBEDDING_FALLBACK = ("harmony", "scvi", "pca")
 MAX_PIVOTS = 4096
-ROUNDS = 2  # rounds between two looks at the modularity: one upward, one downward
-LEAST_GAIN = 1e-4  # of modularity, for another look
 
 
 def choose_embedding(available: Sequence[str]) -> str:
@@ -197,23 +194,24 @@ def connectivities(edges: DataFrame) -> DataFrame:
 
     @F.pandas_udf("array<double>")
     def weights(ds: pd.Series) -> pd.Series:
-        """All rows of a batch search at once: distances padded to one width, bandwidths bisected together."""
-        size = ds.map(len).to_numpy()
-        d = np.full((len(ds), max(size, default=0)), np.inf)
-        d[np.arange(d.shape[1]) < size[:, None]] = np.concatenate(ds.to_list()) if len(ds) else []
-        rho = np.where(d > 0, d, np.inf).min(axis=1, initial=np.inf)
-        gap = np.maximum(d - np.where(np.isinf(rho), 0.0, rho)[:, None], 0.0)
-        goal = np.log2(np.maximum(size, 2))
-        lo, hi, mid = np.zeros(len(ds)), np.full(len(ds), np.inf), np.ones(len(ds))
-        for _ in range(64):
-            total = np.exp(-gap / mid[:, None]).sum(axis=1)
-            over, under = total > goal + 1e-5, total < goal - 1e-5
-            hi, lo = np.where(over, mid, hi), np.where(under, mid, lo)
-            half = np.where(np.isinf(hi), mid * 2, (lo + hi) / 2)
-            mid = np.where(over | under, half, mid)
-        mean = np.where(np.isinf(d), 0.0, d).sum(axis=1) / np.maximum(size, 1)
-        w = np.exp(-gap / np.maximum(np.maximum(mid, 1e-3 * mean), 1e-300)[:, None])
-        return pd.Series([row[:n] for row, n in zip(w, size, strict=True)])
+        out = []
+        for d in ds:
+            d = np.asarray(d, dtype=float)
+            positive = d[d > 0]
+            rho = positive.min() if len(positive) else 0.0
+            gap, goal = np.maximum(d - rho, 0.0), math.log2(max(len(d), 2))
+            lo, hi, mid = 0.0, np.inf, 1.0
+            for _ in range(64):
+                total = np.exp(-gap / mid).sum()
+                if abs(total - goal) < 1e-5:
+                    break
+                if total > goal:
+                    hi, mid = mid, (lo + mid) / 2
+                else:
+                    lo, mid = mid, mid * 2 if hi == np.inf else (mid + hi) / 2
+            mid = max(mid, 1e-3 * (d.mean() if len(d) else 1.0), 1e-300)
+            out.append(np.exp(-gap / mid))
+        return pd.Series(out)
 
     dists = F.transform("e", lambda s: s["dist"])
     one_way = (rows.select("src", "e", weights(dists).alias("w"))
@@ -226,32 +224,22 @@ def connectivities(edges: DataFrame) -> DataFrame:
     return both.groupBy("src", "dst").agg((a + b - a * b).alias("weight"))
 
 
-def _modularity(graph: DataFrame, state: DataFrame, resolution: float, m2: float) -> float:
-    """Share of the weight inside communities, less what their degrees make likely."""
-    a, b = state.select(F.col("node").alias("src"), F.col("comm").alias("a")), state.select(F.col("node").alias("dst"), F.col("comm").alias("b"))
-    inside = graph.join(a, "src").join(b, "dst").agg(F.sum(F.when(F.col("a") == F.col("b"), F.col("w")).otherwise(0.0))).first()[0] or 0.0
-    chance = state.groupBy("comm").agg(F.sum("deg").alias("t")).agg(F.sum(F.col("t") * F.col("t"))).first()[0] or 0.0
-    return inside / m2 - resolution * chance / (m2 * m2)
-
-
-def communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
+def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 6, levels: int = 3) -> DataFrame:
     """Modularity communities of a symmetric weighted graph: ``(cell_id, cluster)``, largest first.
 
-    Every round all nodes weigh the communities of their neighbours and move to the best one; a level ends when
-    two rounds move nothing or bring less than LEAST_GAIN in modularity.  Then communities become the nodes of
-    the next level, until none merge.  Lineage is cut once a round.
+    Every round all nodes weigh the communities of their neighbours and move to the best one.  When hardly
+    any node moves, communities become the nodes of the next level.  Lineage is cut once a round.
     """
     graph = checkpointed(edges.select("src", "dst", F.col("weight").alias("w")))
     m2 = graph.agg(F.sum("w")).first()[0] or 0.0
     member = None
-    while True:
+    for _ in range(levels):
         degree = graph.groupBy(F.col("src").alias("node")).agg(
             F.sum("w").alias("deg"),
             F.sum(F.when(F.col("src") == F.col("dst"), F.col("w")).otherwise(0.0)).alias("loop"))
         state = checkpointed(degree.withColumn("comm", F.col("node")))
         n_nodes = state.count()
-        kept, reached, still = state, -math.inf, 0
-        for step in itertools.count():
+        for step in range(rounds):
             totals = state.groupBy("comm").agg(F.sum("deg").alias("tot"))
             links = (graph.where(F.col("src") != F.col("dst"))
                      .join(state.select(F.col("node").alias("dst"), "comm"), "dst")
@@ -273,17 +261,13 @@ def communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
                 F.max(F.when(F.col("comm") == F.col("own"), F.col("gain"))).alias("stay"))
             go = F.col("top") > F.col("stay") + 1e-9
             state = checkpointed(state.join(best, "node").select(
-                "node", "deg", "loop", F.when(go, F.col("best")).otherwise(F.col("comm")).alias("comm"), go.alias("moved")))
-            still = 0 if state.where("moved").limit(1).count() else still + 1
-            state = state.drop("moved")
-            if still == 2:
-                break
-            if step % ROUNDS == ROUNDS - 1:
-                now = _modularity(graph, state, resolution, m2)
-                if now <= reached + LEAST_GAIN:
-                    state = kept if now < reached else state
+                "node", "deg", "loop", F.when(go, F.col("best")).otherwise(F.col("comm")).alias("comm"),
+                F.when(go, F.lit(1)).otherwise(0).alias("moved")))
+            state, before = state.drop("moved"), state
+            if step % 2:
+                n_moved = before.agg(F.sum("moved")).first()[0]
+                if n_moved <= n_nodes * 0.001:
                     break
-                kept, reached = state, now
         link = state.select(F.col("node"), F.col("comm"))
         member = link.toDF("cell_id", "c") if member is None else (
             member.join(link.toDF("c", "d"), "c").select("cell_id", F.col("d").alias("c")))
@@ -334,7 +318,8 @@ def silhouette(labels: DataFrame, embedding: DataFrame) -> float:
 
 
 def resolution_sweep(embedding: DataFrame, edges: DataFrame, resolutions: Sequence[float],
-                     n_boot: int = 3, share: float = 0.8, seed: int = 0) -> DataFrame:
+                     n_boot: int = 3, share: float = 0.8, seed: int = 0, rounds: int = 6,
+                     levels: int = 3) -> DataFrame:
     """Compare resolutions by stability, separation and tiny clusters; one row per resolution.
 
     Stability is the adjusted Rand index between the clustering and reclusterings of ``share`` of the
@@ -343,7 +328,7 @@ def resolution_sweep(embedding: DataFrame, edges: DataFrame, resolutions: Sequen
     rows = []
     edges = edges.persist(StorageLevel.MEMORY_AND_DISK)
     for res in resolutions:
-        full = communities(edges, res)
+        full = communities(edges, res, rounds, levels)
         w = cluster_warnings(full).first()
         sil = silhouette(full, embedding) if w["n_clusters"] > 1 else 0.0
         aris = []
@@ -352,7 +337,7 @@ def resolution_sweep(embedding: DataFrame, edges: DataFrame, resolutions: Sequen
                                      .cast("bigint") < int(share * 2 ** 32)).select("cell_id")
             sub = (edges.join(chosen.withColumnRenamed("cell_id", "src"), "src", "left_semi")
                    .join(chosen.withColumnRenamed("cell_id", "dst"), "dst", "left_semi"))
-            again = communities(sub, res).withColumnRenamed("cluster", "again")
+            again = communities(sub, res, rounds, levels).withColumnRenamed("cluster", "again")
             aris.append(adjusted_rand(full.join(again, "cell_id"), "cluster", "again").first()[0])
         ari = float(np.mean(aris)) if aris else 0.0
         tiny = w["n_tiny"]

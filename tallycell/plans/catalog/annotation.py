@@ -300,5 +300,6 @@ def _(d):
 
 @query("subset_subcluster")
 def _(d):
-    out = subcluster(d.obs, d.counts, d.var, "label", ["BUILDING", "MACHINERY"], "batch")
+    out = subcluster(d.obs, d.counts, d.var, "label", ["BUILDING", "MACHINERY"], "batch", n_hvg=100, n_comps=5,
+                     rounds=2, levels=2)
     return out.obs.select("cell_id", "label", F.col("leiden_res0_5").alias("cluster"))
