@@ -135,7 +135,7 @@ _CODECS: dict[str, Codec] = {}
 
 
 def codec(path: str) -> Codec:
-    """The codec of a vocabulary file, built once in each worker."""
+    """The codec of a vocabulary file, built once in a process."""
     if path not in _CODECS:
         _CODECS[path] = Codec(path)
     return _CODECS[path]
@@ -143,7 +143,7 @@ def codec(path: str) -> Codec:
 
 def _encode(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own = Codec(path)  # for this task only: the worker goes on to other stages, which need the memory
         for batch in slices(batches):
             ids = [own.encode(x or "") for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))], ["doc_id", "ids"])
@@ -152,7 +152,7 @@ def _encode(path: str) -> Callable:
 
 def _decode(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own = Codec(path)  # for this task only: the worker goes on to other stages, which need the memory
         for batch in batches:
             ids = batch.column("ids")
             flat, offsets = ids.values.to_numpy(zero_copy_only=False).astype(np.uint32), ids.offsets.to_numpy()
@@ -163,7 +163,7 @@ def _decode(path: str) -> Callable:
 
 def _digest(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own = Codec(path)  # for this task only: the worker goes on to other stages, which need the memory
         for batch in slices(batches):
             ids = [own.encode(x or "") for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
