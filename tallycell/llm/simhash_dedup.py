@@ -42,6 +42,7 @@ BLOCKS = 8
 WORDS, SIMILARITY = 5, 0.8
 PRINTS, REACH = 4, (5, 7)  # fingerprints a document; radius and blocks of their trees
 FRONTIER = 1 << 20
+TREE = 1 << 12  # fingerprints to a tree that only proposes
 SKETCH, BLOCK = 1 << 20, 64  # buckets that count shingles; documents to a side of a cell of pairs
 
 
@@ -139,17 +140,18 @@ def spanning_stars(forest: Forest, radius: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def proposals(forest: Forest, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every fingerprint with a link: its nearest neighbour, and the neighbour with the most links."""
-    found = list(forest.search(radius))
-    a, b = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
-    links = np.bincount(a, minlength=len(forest.fp))
-    distance = np.bitwise_count(forest.fp[a] ^ forest.fp[b])
-    out = []
-    for order in (np.lexsort((b, distance, a)), np.lexsort((b, -links[b], a))):
-        first = np.concatenate([[True], a[order][1:] != a[order][:-1]]) if len(order) else np.zeros(0, bool)
-        out.append(order[first])
-    chosen = np.concatenate(out)
-    return a[chosen], b[chosen]
+    """For every fingerprint with a link: its nearest neighbour, and the neighbour with the most links. Links are counted as they
+    are found, and found again to choose by the counts, so they are never held together."""
+    n = len(forest.fp)
+    links, none = np.zeros(n, dtype=np.int64), np.iinfo(np.int64).max
+    nearest, fullest = np.full(n, none), np.full(n, none)
+    for a, b in forest.search(radius):
+        links += np.bincount(a, minlength=n)
+        np.minimum.at(nearest, a, np.bitwise_count(forest.fp[a] ^ forest.fp[b]).astype(np.int64) << 32 | b)
+    for a, b in forest.search(radius):
+        np.minimum.at(fullest, a, (n - links[b]) << 32 | b)
+    linked = np.flatnonzero(links)
+    return np.tile(linked, 2), np.concatenate([nearest[linked], fullest[linked]]) & (1 << 32) - 1
 
 
 Choice = Callable[[Forest, int], tuple[np.ndarray, np.ndarray]]
@@ -157,6 +159,10 @@ Choice = Callable[[Forest, int], tuple[np.ndarray, np.ndarray]]
 
 def _shard_links(radius: int, choice: Choice) -> Callable:
     def links(fp: np.ndarray, shard: np.ndarray) -> pa.RecordBatch:
+        if choice is proposals:  # which need not span: no tree grows beyond TREE
+            starts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+            within = np.arange(len(shard)) - np.repeat(starts, np.diff(np.append(starts, len(shard))))
+            shard = np.cumsum((within % TREE == 0)) - 1
         _, number, size = np.unique(shard, return_inverse=True, return_counts=True)
         shared = size[number] > 1
         fp, number = fp[shared], number[shared]

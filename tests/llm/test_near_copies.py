@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from tallycell.llm import simhash_dedup
 
 RNG = random.Random(5)
@@ -47,3 +50,33 @@ def test_cells_hold_all_pairs_of_a_common_shingle(spark):
     size = {i: n for _, i, n in rows}
     expected = [(a, b) for a in range(300) for b in range(max(a + 1, 150), 300) if min(size[a], size[b]) >= 0.8 * max(size[a], size[b])]
     assert sorted(got) == expected
+
+
+def test_copies_beside_other_texts_of_the_same_words(spark):
+    words = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(8):
+        order = RNG.sample(words, 300)
+        rows += [(3 * i + 1, " ".join(order)), (3 * i + 2, " ".join([*order[:100], *order[101:], order[100]]))]
+        rows.append((3 * i, " ".join(RNG.sample(words, 300))))
+    assert groups(rows) == {3 * i + 2: 3 * i + 1 for i in range(8)}
+    assert found(spark, rows) == groups(rows)
+
+
+def test_proposals_choose_without_holding_all_links():
+    fp = np.unique(np.array([RNG.getrandbits(9) for _ in range(400)], dtype=np.uint64))
+    forest = simhash_dedup.Forest(fp, np.zeros(len(fp), dtype=np.int64))
+    got = set(zip(*(x.tolist() for x in simhash_dedup.proposals(forest, 2)), strict=True))
+    near = {a: [b for b in range(len(fp)) if a != b and (int(fp[a]) ^ int(fp[b])).bit_count() <= 2] for a in range(len(fp))}
+    expected = {(a, min(bs, key=lambda b: ((int(fp[a]) ^ int(fp[b])).bit_count(), b))) for a, bs in near.items() if bs}
+    assert got == expected | {(a, min(bs, key=lambda b: (-len(near[b]), b))) for a, bs in near.items() if bs}
+
+
+def test_no_tree_of_proposals_holds_a_whole_large_shard(monkeypatch):
+    sizes = []
+    made = simhash_dedup.Forest.__init__
+    monkeypatch.setattr(simhash_dedup.Forest, "__init__", lambda self, fp, shard: (sizes.append(np.bincount(shard).max()), made(self, fp, shard))[1])
+    n = 2 * simhash_dedup.TREE + 5
+    rows = pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int64)), pa.array(np.zeros(n, np.int64)), pa.array(np.arange(n) << 12)], ["choice", "shard", "fp"])
+    assert sum(x.num_rows for x in simhash_dedup._shard_links(1, simhash_dedup.proposals)(iter([rows]))) > 0
+    assert sizes == [simhash_dedup.TREE]
