@@ -2,13 +2,14 @@
 
 Two views of a document are learnt separately: its text content (which words, and which beginnings of words, occur) and its page
 metadata (language, source, length and layout figures, in steps). Each view has two heads, for low quality and for toxicity of
-documents that aren't of low quality (junk shares no words with prose, which says nothing of toxicity): a log-odds model over the traits whose share differs beyond chance between the two classes. In every round each view scores a
-pool of unlabelled documents, and what it is sure of, by its calibrated score, joins the other view's counts as a pseudo-label.
+documents that aren't of low quality (junk shares no words with prose, which says nothing of toxicity): a log-odds model over the traits whose share differs beyond chance between the two classes. In every round each view scores all
+unlabelled documents, and what it is sure of, by its calibrated score, joins the other view's counts as a pseudo-label.
 At the end both views are calibrated on labelled rows that no training has seen, a logistic model of the two calibrated logits,
 fitted on those rows too, gives each head's probability, and a document is good with probability (1 - low) * (1 - toxic).
 
-Several label rows for a doc_id count by their worst values; rows with a null are left out. Training reads samples bounded by
-LABELLED and POOL documents, drawn by the hash of doc_id; they and nothing else give the weights, and every document is scored.
+Several label rows for a doc_id count by their worst values; rows with a null are left out. Of labelled documents
+training reads about LABELLED at most, drawn by the hash of doc_id; of unlabelled ones all, also those without doc_id. Their traits
+are counted in the tasks that score them, so counts move and no traits of single documents.
 A head without labels of both classes takes no part; with neither head (no labels, empty tables) every score is 1.
 
 A null text is empty, null metadata are values of their own; doc_id may be null or repeated. Other columns are passed through by
@@ -18,6 +19,7 @@ A null text is empty, null metadata are values of their own; doc_id may be null
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -28,7 +30,8 @@ from pyspark.sql import functions as F
 
 from tallycell.llm.common import slices, written
 
-LABELLED, POOL = 20_000, 4_000
+LABELLED = 20_000
+HELD_COUNTS = 1 << 18  # counts that a task holds before it passes them on
 ROUNDS, SURE = 2, 0.98
 HELD_OUT = 4  # one in so many labelled documents calibrates
 CHANCE = 5.0  # standard errors that a trait's shares must lie apart
@@ -114,19 +117,24 @@ def _drawn(rows: DataFrame, size: int, seed: int) -> DataFrame:
     return rows.filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(_RANGE)) < int(share * _RANGE))
 
 
-def sample(docs: DataFrame, labels: DataFrame, labelled: int, pool: int) -> DataFrame:
-    """doc_id, text and meta traits, low, toxic (null in the pool), held (calibration row)."""
-    docs = _plain(docs)
+def _marks(labels: DataFrame) -> DataFrame:
+    """doc_id, low, toxic: the worst complete label of every document."""
     worst = [F.max((F.col("quality") != 1).cast("int")).alias("low"), F.max((F.col("toxic") != 0).cast("int")).alias("toxic")]
     marked = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(*worst)
-    marked = marked.withColumn("toxic", F.when(F.col("low") == 0, F.col("toxic")))
-    known = _drawn(marked, labelled, 1)
-    rest = _drawn(docs.filter("doc_id IS NOT NULL").select("doc_id"), pool, 2).distinct().join(marked.select("doc_id"), "doc_id", "left_anti")
-    wanted = known.unionByName(rest, allowMissingColumns=True)
-    # The list is bounded by the sizes it was drawn for, so it goes to the documents and no text moves.
-    found = docs.join(F.broadcast(wanted.select("doc_id")), "doc_id", "left_semi").mapInArrow(_traits, _FIELDS)
-    held = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(HELD_OUT)) == 0
-    return written(found.join(F.broadcast(wanted), "doc_id").withColumn("held", held & F.col("low").isNotNull()), "sample")
+    return marked.withColumn("toxic", F.when(F.col("low") == 0, F.col("toxic")))
+
+
+def sample(docs: DataFrame, labels: DataFrame, labelled: int) -> DataFrame:
+    """doc_id, text and meta traits, low, toxic, held (calibration row) of about ``labelled`` documents at most."""
+    known = _drawn(_marks(labels), labelled, 1)
+    # The list is bounded by the size it was drawn for, so it goes to the documents and no text moves.
+    found = _plain(docs).join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi").mapInArrow(_traits, _FIELDS)
+    return written(found.join(F.broadcast(known), "doc_id").withColumn("held", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(HELD_OUT)) == 0), "sample")
+
+
+def unlabelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents, all of them, that have no complete label."""
+    return written(_plain(docs).join(_marks(labels).select("doc_id"), "doc_id", "left_anti").select(*_COLUMNS), "unlabelled")
 
 
 def counts(rows: DataFrame, view: str) -> DataFrame:
@@ -137,6 +145,43 @@ def counts(rows: DataFrame, view: str) -> DataFrame:
     return traits.groupBy("trait").agg(*[F.coalesce(s, F.lit(0)).alias(f"{h}_{c}") for s, (h, c) in zip(sums, [(h, c) for h in HEADS for c in (0, 1)], strict=True)])
 
 
+def pseudo_counts(rows: DataFrame, model: Model) -> DataFrame:
+    """view, trait and the counts as of ``counts``: the labels that either view is sure of, counted over the other's traits."""
+    sent, sure = rows.sparkSession.sparkContext.broadcast(model), math.log(SURE / (1 - SURE))
+    names = [f"{h}_{c}" for h in HEADS for c in (0, 1)]
+
+    def table(held: dict[tuple[str, int, int | None], Counter]) -> Iterator[pa.RecordBatch]:
+        for (view, low, toxic), found in held.items():
+            n = np.fromiter(found.values(), np.int64, len(found))
+            is_in = {f"low_{low}", f"toxic_{toxic}"}
+            yield pa.RecordBatch.from_arrays([pa.array([view] * len(found), pa.string()), pa.array(list(found), pa.string()),
+                                              *[pa.array(n if c in is_in else np.zeros_like(n)) for c in names]], ["view", "trait", *names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int, int | None], Counter] = {}
+        for batch in slices(batches):
+            for r in batch.select(list(_COLUMNS)[1:]).to_pylist():
+                text = r["text"] or ""
+                traits = {"text": text_traits(text), "meta": meta_traits(text, r["lang"], r["source"], r["n_chars"])}
+                for v, other in zip(VIEWS, reversed(VIEWS), strict=True):
+                    z = sent.value["low"].logit(other, traits[other])
+                    if abs(z) >= sure:
+                        low, toxic = int(z > 0), None
+                        if not low:
+                            z = sent.value["toxic"].logit(other, traits[other])
+                            toxic = int(z > 0) if abs(z) >= sure else None
+                        own = held.setdefault((v, low, toxic), Counter())
+                        own.update(traits[v])
+                        own[None] += 1
+                if sum(map(len, held.values())) > HELD_COUNTS:
+                    yield from table(held)
+                    held = {}
+        yield from table(held)
+
+    kinds = ", ".join(f"{c} long" for c in names)
+    return written(rows.mapInArrow(run, f"view string, trait string, {kinds}").groupBy("view", "trait").agg(*[F.sum(c).alias(c) for c in names]), "pseudo")
+
+
 def weights(table: DataFrame, total: dict[str, int]) -> dict[str, dict[str, float]]:
     """Log-odds per head of the traits whose shares differ by more than CHANCE standard errors."""
     out: dict[str, dict[str, float]] = {h: {} for h in HEADS}
@@ -148,7 +193,7 @@ def weights(table: DataFrame, total: dict[str, int]) -> dict[str, dict[str, floa
         apart = F.abs(a / yes - b / no) > CHANCE * F.sqrt(share * (1 - share) * (1 / no + 1 / yes))
         parts.append(table.filter(F.col("trait").isNotNull() & apart)
                      .select(F.lit(h).alias("head"), "trait", (F.log((a + 0.5) / (yes + 1)) - F.log((b + 0.5) / (no + 1))).alias("w")))
-    for r in parts[0].unionByName(parts[1]).toLocalIterator():  # traits of a bounded sample
+    for r in parts[0].unionByName(parts[1]).toLocalIterator():  # only traits beyond chance
         out[r.head][r.trait] = r.w
     return out
 
@@ -182,10 +227,10 @@ def _calibrate(held: DataFrame, model: Model) -> None:
         head.mix = tuple(logistic(z, y).tolist())
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> Model:
     """The heads for which there are labels of both classes."""
-    rows = sample(docs, labels, labelled, pool)
-    held, base, unlabelled = rows.filter("held"), rows.filter("NOT held AND low IS NOT NULL"), rows.filter("low IS NULL")
+    rows = sample(docs, labels, labelled)
+    held, base, rest = rows.filter("held"), rows.filter("NOT held"), unlabelled(docs, labels)
     known = {v: written(counts(base, v), f"counts-{v}") for v in VIEWS}
     found = held.agg(*[F.count_distinct(h).alias(h) for h in HEADS]).first()
     model: Model = {h: Head() for h in HEADS}
@@ -194,19 +239,15 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
         for v in VIEWS:
             table = known[v]
             if extra[v] is not None:
-                table = table.unionByName(counts(extra[v], v)).groupBy("trait").agg(*[F.sum(c).alias(c) for c in table.columns[1:]])
+                table = table.unionByName(extra[v]).groupBy("trait").agg(*[F.sum(c).alias(c) for c in table.columns[1:]])
             total = table.filter("trait IS NULL").first()
             for h, w in weights(table, total.asDict() if total else {f"{h}_{c}": 0 for h in HEADS for c in (0, 1)}).items():
                 model[h].weights[v] = w
         if min(found) > 0:
             _calibrate(held, model)
         if turn < rounds:
-            sure = math.log(SURE / (1 - SURE))
-            scored = written(_logits(unlabelled, model), "pool")
-            for v, other in zip(VIEWS, reversed(VIEWS), strict=True):
-                given = {h: F.when(F.abs(f"{h}_{other}") >= sure, (F.col(f"{h}_{other}") > 0).cast("int")) for h in HEADS}
-                given["toxic"] = F.when(given["low"] == 0, given["toxic"])
-                extra[v] = scored.select(v, *[c.alias(h) for h, c in given.items()])
+            given = pseudo_counts(rest, model)
+            extra = {v: given.filter(F.col("view") == v).drop("view") for v in VIEWS}
     return {h: head for h, head in model.items() if found[h] > 1}
 
 
@@ -216,7 +257,7 @@ def _scores(model: Model, batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _each(docs: DataFrame, model: Model, shape: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch]) -> Callable:
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # traits of a bounded sample
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # only traits beyond chance
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
