@@ -12,6 +12,8 @@ from tallycell.llm import bpe_codec, cotraining, exact_dedup, positional_index,
 from tallycell.llm.common import table, written
 from tallycell.llm.queries import VOCABULARY
 
+ROW = "_decontamination_row"
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labels among them, finds good."""
@@ -29,10 +31,12 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item. Rows without doc_id are judged by their own text as all others."""
-    found = positional_index.contamination(positional_index.build_index(docs), table(spark, sf_dir, "benchmark"))
-    dirty = found.filter("contaminated").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(dirty, docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+    """Documents without any window of a benchmark item. Every row is judged by its own text, also those without doc_id and those
+    that share one: the index names rows by numbers that are written first, so they stay the same."""
+    keyed = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    index = positional_index.build_index(keyed.select(F.col(ROW).alias("doc_id"), "text"))
+    dirty = positional_index.contamination(index, table(spark, sf_dir, "benchmark")).filter("contaminated").select(F.col("doc_id").alias(ROW))
+    return keyed.join(dirty, ROW, "left_anti").select(docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
