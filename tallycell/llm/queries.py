@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallycell.llm import (bpe_codec, chat_format, cotraining, exact_dedup, license_scan, merkle, passages, positional_index, simhash_dedup,
+from tallycell.llm import (bpe_codec, chat_format, cotraining, exact_dedup, lexical_index, license_scan, merkle, passages, positional_index, simhash_dedup,
                            token_counts, warc)
 from tallycell.llm.common import table
 
@@ -57,6 +57,10 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.passages(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_index.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(table(spark, sf_dir, "documents"))
 
@@ -72,7 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_passages": op10_passages,
+    "op11_lexical_search": op11_lexical_search,
     "op13_merkle": op13_merkle,
 }
 ORACLES: dict[str, str] = {"op1_license_scan": license_scan.SQL, "op3_warc": warc.SQL, "op5_decontamination": positional_index.SQL, "op8_chat_format": chat_format.SQL, "op9_exact_dedup": exact_dedup.SQL,
-                           "op13_merkle": merkle.SQL}
+                           "op11_lexical_search": lexical_index.SQL, "op13_merkle": merkle.SQL}
