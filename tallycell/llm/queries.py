@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tallycell.llm import (bpe_codec, chat_format, cotraining, exact_dedup, lexical_index, license_scan, merkle, passages, positional_index, simhash_dedup,
-                           token_counts, warc)
+                           token_counts, token_files, warc)
 from tallycell.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -61,6 +61,10 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_index.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.through_files(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(table(spark, sf_dir, "documents"))
 
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_passages": op10_passages,
     "op11_lexical_search": op11_lexical_search,
+    "op12_token_files": op12_token_files,
     "op13_merkle": op13_merkle,
 }
 ORACLES: dict[str, str] = {"op1_license_scan": license_scan.SQL, "op3_warc": warc.SQL, "op5_decontamination": positional_index.SQL, "op8_chat_format": chat_format.SQL, "op9_exact_dedup": exact_dedup.SQL,
