@@ -84,7 +84,7 @@ def wanted(library, given):
 
 def test_round_trip(spark, library):
     docs = spark.createDataFrame([(*r, "clash", 1) for r in rows()], "doc_id long, text string, packed string, start int").repartition(5)
-    archive = tf.write_files(tf.token_ids(docs, PATH), tf.new_folder(spark), file_bytes=20_000, chunk=5000)
+    archive = tf.write_files(tf.token_ids(docs, PATH), tf.new_folder(spark), file_bytes=3000, chunk=500)
     assert archive.files.count() > 3
     got = tf.read_files(archive, digest=True).collect()
     assert sorted(((r.doc_id, r.n_tokens, r.ids_crc32) for r in got), key=str) == wanted(library, rows())
