@@ -42,8 +42,10 @@ MAGIC = b"tokrans1"
 LANES, BLOCK, CHUNK = 1024, 1 << 18, 1 << 18
 FILE_BYTES = 128 << 20
 TEXT_BYTES = 8 << 20
-#: Pieces whose ids a task keeps.
-KEPT = 500_000
+#: Distinct pieces whose ids a task keeps; beyond it starts anew, with the same results.
+KEPT = 600_000
+#: Stands alone between the pieces that the library encodes in one text.
+_BETWEEN, _TOGETHER = "\x01", 512
 #: Chunks that a reading task takes.
 CHUNKS_A_TASK = 16
 
@@ -230,6 +232,7 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
+        [self.between] = self.library.encode(_BETWEEN, add_special_tokens=False).ids
         self._forget()
 
     def _forget(self) -> None:
@@ -254,17 +257,35 @@ class Encoder:
         flat = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(cuts), pa.py_buffer(raw[inside]))
         return flat.dictionary_encode(), np.searchsorted(offsets, starts, side="right") - 1
 
+    def _learn(self, new: list[str], alone: bool) -> None:
+        together = [[w] for w in new] if alone else [new[i:i + _TOGETHER] for i in range(0, len(new), _TOGETHER)]
+        joined = [x[0] if alone else f" {_BETWEEN} ".join([*x, ""]) for x in together]
+        found = [np.array(x.ids, np.uint32) for x in self.library.encode_batch_fast(joined, add_special_tokens=False)]
+        if alone:
+            ids, sizes = np.concatenate(found), np.array([len(x) for x in found])
+        else:
+            ids = np.concatenate(found)
+            last = ids == self.between
+            ends = np.flatnonzero(last)
+            sizes, ids = np.diff(np.append(-1, ends)) - 1, ids[~last]
+        if len(sizes) != len(new):
+            raise ValueError("the pieces came back in another number")
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.cuts = np.concatenate([self.cuts, self.cuts[-1] + np.cumsum(sizes)])
+        self.flat = np.concatenate([self.flat, ids])
+
     def encode(self, column: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows one after the other, each row's with ``end`` behind, and the number of ids of each row."""
         pieces, row = self._pieces(column)
         words = pieces.dictionary.to_pylist()
-        if len(self.known) + len(words) > KEPT:
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > KEPT:
             self._forget()
-        if new := [w for w in words if w not in self.known]:
-            found = [x.ids for x in self.library.encode_batch_fast(new, add_special_tokens=False)]
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            self.cuts = np.concatenate([self.cuts, self.cuts[-1] + np.cumsum([len(x) for x in found])])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in found for i in x), np.uint32)])
+            new = words
+        # Pieces between white space don't touch each other, so many of them make one text for the library.
+        for some, alone in ([w for w in new if _BETWEEN not in w], False), ([w for w in new if _BETWEEN in w], True):
+            if some:
+                self._learn(some, alone)
         at = np.fromiter((self.known[w] for w in words), np.int64, len(words))
         codes = at[pieces.indices.to_numpy()]
         start, size = self.cuts[codes], self.cuts[codes + 1] - self.cuts[codes]
