@@ -139,13 +139,14 @@ def foreign_programs(scores: DataFrame, obs: DataFrame, native: DataFrame, label
                      keep_above: float = 0.05) -> DataFrame:
     """Share of a label's cells in which another set outscores the label's own.
 
-    ``scores`` must hold every cell and set, ``native`` the pairs ``(label, set_name)``.
+    ``scores`` must hold every cell and set, ``native`` the pairs ``(label, set_name)``. Scores are sums whose last digits hang on the
+    order of addition: they are compared at nine places.
     """
     own = native.select(F.col(label), F.col("set_name").alias("native"))
     with_label = scores.join(obs.select("cell_id", label), "cell_id").join(own, label)
     mine = with_label.where(F.col("set_name") == F.col("native")).select("cell_id", F.col("score").alias("own_score"))
     return (with_label.where(F.col("set_name") != F.col("native")).join(mine, "cell_id")
-            .groupBy(label, "set_name").agg(F.avg((F.col("score") > F.col("own_score")).cast("double")).alias("fraction"))
+            .groupBy(label, "set_name").agg(F.avg((F.round("score", 9) > F.round("own_score", 9)).cast("double")).alias("fraction"))
             .where(F.col("fraction") > keep_above))
 
 

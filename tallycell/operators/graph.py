@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,11 +13,11 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallycell.functions.order_stats import hash_order, top_k
+from tallycell.functions.order_stats import hash_order
+from tallycell.operators.neighbours import nearest
 from tallycell.session import checkpointed
 
 EMBEDDING_FALLBACK = ("harmony", "scvi", "pca")
-MAX_PIVOTS = 4096
 
 
 def choose_embedding(available: Sequence[str]) -> str:
@@ -28,160 +28,16 @@ def choose_embedding(available: Sequence[str]) -> str:
     raise ValueError(f"no usable embedding among {list(available)}")
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    d2 = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-    return np.sqrt(np.maximum(d2, 0.0))
-
-
-def _prepared(embedding: DataFrame, dims: int | None, metric: str) -> DataFrame:
-    v = F.col("v").cast("array<double>")
-    if dims:
-        v = F.slice(v, 1, dims)
-    if metric == "cosine":
-        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-        v = F.transform(v, lambda x: x / F.greatest(norm, F.lit(1e-300)))
-    elif metric != "euclidean":
-        raise ValueError("metric is euclidean or cosine")
-    return embedding.select("cell_id", v.alias("v"))
-
-
-def nearest(queries: DataFrame, targets: DataFrame, k: int, metric: str = "euclidean",
-            dims: int | None = None, exclude_self: bool = True, block: int = 2048) -> DataFrame:
-    """Exact k nearest targets of every query: ``(src, dst, dist, rank)``; equal distances go by id.
-
-    Targets are split by their closest pivot, and a pivot's targets into blocks of bounded size.  A first
-    pass over one block bounds each query's k-th distance; the triangle and bisector inequalities then
-    rule out pivots, and the query visits only the remaining blocks.  Each task holds one block of targets
-    and one block of queries, whatever the density of the data, and emits k rows per query.
-    """
-    q0, t0 = _prepared(queries, dims, metric), _prepared(targets, dims, metric)
-    n = t0.count()
-    n_pivots = min(MAX_PIVOTS, max(1, math.ceil(n / block)))
-    spark = t0.sparkSession
-    pivots = np.array([r["v"] for r in t0.orderBy(hash_order(0, "cell_id")).limit(n_pivots).collect()])
-
-    def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                d = _distances(np.vstack(pdf["v"].to_numpy()), pivots)
-                near = d.argmin(axis=1)
-                yield pdf.assign(pivot=near.astype("int32"), pd=d[np.arange(len(pdf)), near])
-
-    kind = dict(t0.dtypes)["cell_id"]
-    placed = f"cell_id {kind}, v array<double>, pivot int, pd double"
-    t = t0.mapInPandas(locate, placed).persist(StorageLevel.MEMORY_AND_DISK)
-    spots = {r["pivot"]: r for r in t.groupBy("pivot").agg(
-        F.count(F.lit(1)).alias("n"), F.min("pd").alias("lo"), F.max("pd").alias("hi")).collect()}
-    blocks = np.array([math.ceil(spots[p]["n"] / block) if p in spots else 0 for p in range(len(pivots))])
-    low = np.array([spots[p]["lo"] if p in spots else np.inf for p in range(len(pivots))])
-    high = np.array([spots[p]["hi"] if p in spots else -np.inf for p in range(len(pivots))])
-    between = _distances(pivots, pivots)
-
-    def spread(column: str, parts: str):
-        return F.pmod(F.xxhash64(column), F.greatest(F.lit(1), F.col(parts))).cast("int")
-
-    n_blocks = F.get(F.lit(blocks.tolist()), F.col("pivot"))
-    t = t.withColumn("nb", n_blocks).withColumn("part", spread("cell_id", "nb")).drop("nb", "pd")
-    q = q0.mapInPandas(locate, placed).persist(StorageLevel.MEMORY_AND_DISK)
-    keep = k + (1 if exclude_self else 0)
-    edge = f"src {kind}, dst {kind}, dist double"
-
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """The closest targets of one block for one block of queries."""
-        if left.empty or right.empty:
-            return pd.DataFrame({"src": [], "dst": [], "dist": []})
-        qv, tv = np.vstack(left["v"].to_numpy()), np.vstack(right["v"].to_numpy())
-        qi, ti = left["cell_id"].to_numpy(), right["cell_id"].to_numpy()
-        order = np.argsort(ti, kind="stable")
-        tv, ti = tv[order], ti[order]
-        d = _distances(qv, tv)
-        m = min(keep, len(ti))
-        if m < len(ti):
-            # Keep everything within rounding of the m-th distance, so that ties are settled by id below.
-            edge_d = np.partition(d, m - 1, axis=1)[:, m - 1]
-            rows, cols = np.nonzero(d <= edge_d[:, None] + 1e-7)
-        else:
-            rows, cols = np.nonzero(np.ones_like(d, dtype=bool))
-        exact = np.sqrt(((qv[rows] - tv[cols]) ** 2).sum(axis=1))
-        out = pd.DataFrame({"r": rows, "c": cols, "dist": exact, "key": exact.round(9)})
-        out = out.sort_values(["r", "key", "c"], kind="stable")
-        out = out[out.groupby("r").cumcount() < m]
-        return pd.DataFrame({"src": qi[out["r"]], "dst": ti[out["c"]], "dist": out["dist"]})
-
-    def visit(visits: DataFrame, per_pivot: dict[int, int]) -> DataFrame:
-        """Meet query blocks with target blocks: visits ``(cell_id, v, pivot, part)``."""
-        chunk_n = F.get(F.lit([max(1, math.ceil(per_pivot.get(p, 0) / block)) for p in range(len(pivots))]),
-                        F.col("pivot"))
-        left = visits.withColumn("nc", chunk_n).withColumn("chunk", spread("cell_id", "nc")).drop("nc")
-        right = t.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunk_n - 1)))
-        keys = ["pivot", "part", "chunk"]
-        return (left.groupBy(*keys).cogroup(right.join(left.select(*keys).distinct(), keys, "left_semi").groupBy(*keys))
-                .applyInPandas(compare, edge))
-
-    if len(pivots) == 1:
-        sizes = {0: q.count()}
-        visits = q.select("cell_id", "v", "pivot", F.explode(F.sequence(F.lit(0), F.lit(int(blocks[0]) - 1))).alias("part"))
-        found = visit(visits, sizes)
-    else:
-        own = {r["pivot"]: r["n"] for r in q.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).collect()}
-        first = visit(q.select("cell_id", "v", "pivot", F.lit(0).alias("part")), own)
-        bound = first.groupBy("src").agg(F.sort_array(F.collect_list("dist")).alias("ds")).select(
-            F.col("src").alias("cell_id"), F.when(F.size("ds") >= keep, F.get("ds", keep - 1)).alias("bound"))
-        bounded = q.join(bound, "cell_id", "left").withColumn(
-            "bound", F.coalesce("bound", F.lit(float("inf")))).persist(StorageLevel.MEMORY_AND_DISK)
-
-        def reach(pdf: pd.DataFrame) -> np.ndarray:
-            d = _distances(np.vstack(pdf["v"].to_numpy()), pivots)
-            mine = pdf["pivot"].to_numpy()
-            gap = between[mine]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                bisect = np.where(gap > 0, (d ** 2 - pdf["pd"].to_numpy()[:, None] ** 2) / (2 * gap), 0.0)
-            least = np.maximum(np.maximum(d - high, low - d), bisect)
-            return (least <= pdf["bound"].to_numpy()[:, None] + 1e-7) & (blocks > 0)
-
-        def census(batches):
-            seen = np.zeros(len(pivots), dtype="int64")
-            for pdf in batches:
-                if len(pdf):
-                    seen += reach(pdf).sum(axis=0)
-            yield pd.DataFrame({"pivot": np.arange(len(pivots), dtype="int32"), "n": seen})
-
-        def itinerary(batches):
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                rows, cols = np.nonzero(reach(pdf))
-                yield pd.DataFrame({"cell_id": pdf["cell_id"].to_numpy()[rows], "v": pdf["v"].to_numpy()[rows],
-                                    "pivot": cols.astype("int32")})
-
-        visiting = {r["pivot"]: r["n"] for r in bounded.mapInPandas(census, "pivot int, n bigint")
-                    .groupBy("pivot").agg(F.sum("n").alias("n")).collect()}
-        walk = bounded.mapInPandas(itinerary, f"cell_id {kind}, v array<double>, pivot int")
-        found = visit(walk.withColumn("part", F.explode(F.sequence(F.lit(0), n_blocks - 1))), visiting)
-    if exclude_self:
-        found = found.where(F.col("src") != F.col("dst"))
-    best = top_k(found, ["src"], [F.round("dist", 9), F.col("dst")], k)
-    if metric == "cosine":
-        best = best.withColumn("dist", F.col("dist") * F.col("dist") / 2)
-    return best.select("src", "dst", "dist", "rank")
-
-
 def neighbour_graph(embedding: DataFrame, k: int = 15, metric: str = "euclidean", dims: int | None = None,
-                    block: int = 2048) -> DataFrame:
-    """Each cell's k nearest other cells."""
-    return nearest(embedding, embedding, k, metric, dims, True, block)
+                    block: int = 2048, lists: int | None = None, probes: int | None = None) -> DataFrame:
+    """Each cell's k nearest other cells; exact unless ``probes`` is given."""
+    return nearest(embedding, embedding, k, metric, dims, True, block, lists, probes)
 
 
 def balanced_neighbours(embedding: DataFrame, batch: str, k_per_batch: int = 3, metric: str = "euclidean",
-                        block: int = 2048) -> DataFrame:
-    """The nearest cells in every batch, so that no batch is left out of a neighbourhood."""
-    names = [r[0] for r in embedding.select(batch).distinct().orderBy(batch).collect()]
-    out = None
-    for name in names:
-        part = nearest(embedding, embedding.where(F.col(batch) == name), k_per_batch, metric, block=block)
-        part = part.withColumn("batch", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
+                        block: int = 2048, lists: int | None = None, probes: int | None = None) -> DataFrame:
+    """The nearest cells in every batch, so that no batch is left out of a neighbourhood; one job for all batches."""
+    return nearest(embedding, embedding, k_per_batch, metric, None, True, block, lists, probes, batch)
 
 
 def connectivities(edges: DataFrame) -> DataFrame:

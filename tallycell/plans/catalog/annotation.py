@@ -166,9 +166,9 @@ EXCESS = """SELECT label, a, b, rate, base, rate - base AS excess FROM (
       SELECT label, a, b, count(*)::DOUBLE AS k FROM expr x JOIN pairs ON x.set_name = a
       JOIN expr y ON y.cell_id = x.cell_id AND y.set_name = b JOIN obs ON obs.cell_id = x.cell_id GROUP BY 1, 2, 3)
     JOIN (SELECT label, count(*) AS n FROM obs GROUP BY 1) USING (label)) WHERE rate - base > 0.02"""
-FOREIGN = """SELECT label, s.set_name, avg((s.score > o.score)::INT) AS fraction FROM scores s JOIN obs USING (cell_id)
+FOREIGN = """SELECT label, s.set_name, avg((round(s.score, 9) > round(o.score, 9))::INT) AS fraction FROM scores s JOIN obs USING (cell_id)
     JOIN native n USING (label) JOIN scores o ON o.cell_id = s.cell_id AND o.set_name = n.set_name
-    WHERE s.set_name <> n.set_name GROUP BY 1, 2 HAVING avg((s.score > o.score)::INT) > 0.05"""
+    WHERE s.set_name <> n.set_name GROUP BY 1, 2 HAVING avg((round(s.score, 9) > round(o.score, 9))::INT) > 0.05"""
 AMBIENT = """SELECT label, coalesce(corr(coalesce(s, 0) / n, sa / na), 0.0) AS ar FROM (
     SELECT gene_id FROM counts GROUP BY 1 ORDER BY sum(n) DESC, gene_id LIMIT 20) JOIN (SELECT label, count(*) AS n FROM obs GROUP BY 1) ON true
     JOIN (SELECT gene_id, sum(x) AS sa FROM ln GROUP BY 1) USING (gene_id) JOIN (SELECT count(*) AS na FROM obs) ON true

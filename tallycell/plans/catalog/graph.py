@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tallycell.operators import graph, integrate, markers, normalize
+from tallycell.operators import graph, integrate, markers, neighbours, normalize
 from tallycell.plans.registry import query, six
 from tallycell.plans.standin import r, sql
 
@@ -31,6 +31,12 @@ def _(d):
     return six(graph.balanced_neighbours(d.embedding, "batch", 3))
 
 
+@query("graph_knn_recall", sql("SELECT count(*) * 15 AS n_edges, true AS recall_at_least_0_9 FROM emb", "emb"))
+def _(d):
+    found = graph.neighbour_graph(d.embedding, 15, lists=16, probes=12)
+    return neighbours.recall(found, graph.neighbour_graph(d.embedding, 15)).select("n_edges", (F.col("recall") >= 0.9).alias("recall_at_least_0_9"))
+
+
 def edges(d):
     return graph.connectivities(graph.neighbour_graph(d.embedding, 15))
 

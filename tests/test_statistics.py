@@ -28,13 +28,6 @@ def test_bucketed_quantiles_equal_numpy(values):
                 assert got.loc[g, order_stats.quantile_name(c, p)] == pytest.approx(np.quantile(part[c], p))
 
 
-def test_small_group_path_agrees(values):
-    _, df = values
-    a = order_stats.quantiles(df, ["g"], {"y": [0.1, 0.5]}).orderBy("g").toPandas()
-    b = order_stats.quantiles(df, ["g"], {"y": [0.1, 0.5]}, small_groups=True).orderBy("g").toPandas()
-    pd.testing.assert_frame_equal(a, b)
-
-
 def test_quantiles_skip_missing_and_infinite(spark):
     df = spark.createDataFrame([(1.0,), (3.0,), (None,), (float("nan"),), (float("inf"),)], "x double")
     assert order_stats.quantiles(df, [], {"x": [0.5]}).first()[0] == 2.0
