@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tallycell.operators import abundance, atlas, communication, figures, graph, provenance, trajectory
+from tallycell.operators import abundance, atlas, communication, diffusion, figures, graph, provenance, trajectory
 from tallycell.plans.catalog.differential import _CW, cellwise
 from tallycell.plans.catalog.graph import KNN
 from tallycell.plans.registry import query, six
@@ -182,6 +182,19 @@ def _(d):
     return six(trajectory.fate_probabilities(checkpointed(e), d.embedding))
 
 
+@query("trajectory_diffusion_components", sql(
+    "SELECT CAST(i AS INT) AS component, true AS in_range, true AS settled, i = 0 AS stationary FROM range(15) t(i)"))
+def _(d):
+    t = diffusion.residual_table(diffusion.components(graph.connectivities(graph.neighbour_graph(d.embedding, 15))))
+    return t.select("component", F.abs("eigenvalue").between(0.0, 1.0 + 1e-9).alias("in_range"), (F.col("residual") <= 1e-4).alias("settled"),
+                    (F.col("eigenvalue") >= diffusion.STATIONARY).alias("stationary"))
+
+
+@query("trajectory_diffusion_pseudotime")
+def _(d):
+    return six(diffusion.diffusion_pseudotime(graph.connectivities(graph.neighbour_graph(d.embedding, 15)), d.embedding, "c3"))
+
+
 _SP = """SELECT gene_id, corr(rx, rp) AS rho FROM (SELECT gene_id, rp, rank() OVER (PARTITION BY gene_id ORDER BY coalesce(x, 0))
       + (count(*) OVER (PARTITION BY gene_id, coalesce(x, 0)) - 1) / 2.0::DOUBLE AS rx FROM (SELECT * FROM ch, pt)
     LEFT JOIN ln USING (gene_id, cell_id)) GROUP BY 1"""
