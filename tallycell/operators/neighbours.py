@@ -127,9 +127,9 @@ def nearest(queries: DataFrame, targets: DataFrame, k: int, metric: str = "eucli
     spark = targets.sparkSession
     names = [r[0] for r in targets.select(batch).distinct().collect()] if batch else [None]
     names.sort(key=lambda x: (x is not None, x))
-    q = prepared(queries, dims, metric)
+    t = checkpointed(prepared(targets, dims, metric, *([batch] if batch else [])))
+    q = t.select("cell_id", "v") if queries is targets else checkpointed(prepared(queries, dims, metric))
     kind = dict(q.dtypes)["cell_id"]
-    t = prepared(targets, dims, metric, *([batch] if batch else []))
     if batch:
         code = spark.createDataFrame([(x, i) for i, x in enumerate(names)], f"_name {dict(targets.dtypes)[batch]}, _batch int")
         t = t.join(F.broadcast(code), F.col(batch).eqNullSafe(F.col("_name"))).select("cell_id", "v", "_batch")
