@@ -139,7 +139,8 @@ def nearest(queries: DataFrame, targets: DataFrame, k: int, metric: str = "eucli
     if not sizes:
         empty = spark.createDataFrame([], f"src {kind}, dst {kind}, dist double, rank int")
         return empty.withColumn(batch, F.lit(None).cast(dict(targets.dtypes)[batch])) if batch else empty
-    centres, of = fit(t, sizes, lists)
+    # An exact search is right with any centres; only a probed one rests on good ones.
+    centres, of = fit(t, sizes, lists, rounds=0 if probes is None else ROUNDS)
 
     def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
