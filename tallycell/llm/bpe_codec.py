@@ -16,6 +16,7 @@ whole at any length. Columns other than doc_id and text are not read.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -27,17 +28,66 @@ from pyspark.sql import functions as F
 from tallycell.llm import word_bpe
 from tallycell.llm.common import slices
 
-#: Encoded pre-tokens and checked pairs that a worker keeps; beyond it starts anew, with the same results.
-KEPT = 200_000
+#: Encoded words that a worker keeps; beyond it the half that was not seen for longest goes, with the same results. Pre-tokens
+#: and checked pairs start anew beyond it.
+KEPT = 1 << 19
 _FIRST = 0x4E00  # symbols 0-511 as characters, for the automaton
 
 
+class Words(dict):
+    """Numbers of encoded words. The ids of all of them lie in one array, cut by ``starts``: no object for each word but its text."""
+
+    def __init__(self, encode: Callable[[str], list[int]]):
+        super().__init__()
+        self.encode = encode
+        self.flat, self.starts = array("I"), array("q", [0])
+        self.seen = np.zeros(0, np.int64)
+        self.clock = 0
+
+    def __missing__(self, word: str) -> int:
+        self.flat.extend(self.encode(word))
+        self.starts.append(len(self.flat))
+        number = self[word] = len(self)
+        return number
+
+    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all ``words`` one behind the other, and how many each has."""
+        numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        self.clock += 1
+        self.seen = np.concatenate([self.seen, np.zeros(len(self) - len(self.seen), np.int64)])
+        self.seen[numbers] = self.clock
+        starts = np.array(self.starts)
+        sizes = np.diff(starts)[numbers]
+        found = np.array(self.flat)[_places(starts[numbers], sizes)]
+        if len(self) > KEPT:
+            self._forget()
+        return found, sizes
+
+    def _forget(self) -> None:
+        """Drop the words that were not seen for longest, to half of KEPT."""
+        stay = np.sort(np.argsort(self.seen, kind="stable")[len(self) - KEPT // 2:])
+        starts, words = np.array(self.starts), list(self)
+        sizes = np.diff(starts)[stay]
+        self.flat = array("I", np.array(self.flat)[_places(starts[stay], sizes)].tobytes())
+        self.starts = array("q", np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64).tobytes())
+        self.seen = self.seen[stay]
+        self.clear()
+        self.update((words[old], new) for new, old in enumerate(stay.tolist()))
+
+
+def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each start, as many as its size."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
 class Codec:
     def __init__(self, path: str):
         self.bpe = bpe = word_bpe.load(path)
         self.left, self.right = bpe.left.tolist(), bpe.right.tolist()
         self.fits: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, list[int]] = {}
+        self.words = Words(self._word)
         spelled = [""] * len(self.left)
         for symbol, token in enumerate(bpe.symbol_token.tolist()):
             spelled[token] = chr(_FIRST + symbol)
@@ -51,6 +101,9 @@ class Codec:
             whole.append(a < 0 or whole[a] and whole[b] and self._meet(a, b, token))
             if whole[token]:
                 self.automaton.add_word(text, token)
+        self.single = {text: token for token, text in enumerate(spelled) if whole[token]}
+        #: The longest token that a token begins with, -1 if it has one symbol.
+        self.prefix = [next((self.single[text[:i]] for i in range(len(text) - 1, 0, -1) if text[:i] in self.single), -1) for text in spelled]
         self.automaton.make_automaton()
         names = [x.encode() + b" " for x in bpe.names]
         self.bytes = np.frombuffer(b"".join(names), np.uint8)
@@ -87,48 +140,75 @@ class Codec:
 
     def _walk(self, text: str) -> list[int]:
         """Tokens of a pre-token given as symbols."""
-        starting: list[list[int]] = [[] for _ in text]
-        for end, token in self.automaton.iter(text):
-            starting[end + 1 - self.lengths[token]].append(token)  # in order of their ends: the longest comes last
-        n, lengths, fit = len(text), self.lengths, self._fit
+        n, lengths, prefix, fits, longest = len(text), self.lengths, self.prefix, self.fits, self.automaton.iter_long
         out: list[int] = []
         tried = bytearray(n + 1)  # places whose rest can't be reached by any token that ended there
-        at, choice = 0, [len(starting[0]) - 1]
-        while at < n:
-            options, i = starting[at], choice[-1]
-            while i >= 0 and (tried[at + lengths[options[i]]] or out and not fit(out[-1], options[i])):
-                i -= 1
-            if i >= 0:
-                choice[-1] = i - 1
-                out.append(options[i])
-                at += lengths[options[i]]
-                choice.append(len(starting[at]) - 1 if at < n else -1)
-            else:
+        at, coming = 0, longest(text)  # longest matches from here on, one behind the other
+        token = next(coming)[1]
+        while True:
+            end = at + lengths[token]
+            if not tried[end]:
+                fit = True
+                if out:
+                    pair = out[-1], token
+                    fit = fits.get(pair)
+                    if fit is None:
+                        fit = self._fit(*pair)
+                if fit:
+                    out.append(token)
+                    if end == n:
+                        return out
+                    if coming is None:
+                        coming = longest(text, end)
+                    at, token = end, next(coming)[1]
+                    continue
+            coming = None
+            token = prefix[token]
+            while token < 0:
                 tried[at] = 1
-                choice.pop()
-                at -= lengths[out.pop()]
-        return out
+                token = out.pop()
+                at -= lengths[token]
+                token = prefix[token]
 
-    def piece(self, piece: str) -> np.ndarray:
+    def _piece(self, piece: str) -> tuple[int, ...]:
         known = self.known.get(piece)
         if known is None:
             if len(self.known) >= KEPT:
                 self.known.clear()
-            special = self.bpe.specials.get(piece)
-            known = self.known[piece] = np.array([special] if special is not None else self._walk(self._symbols(piece)), dtype=np.uint32)
+            if piece in self.bpe.specials:
+                known = self.bpe.specials[piece],
+            else:
+                text = self._symbols(piece)
+                token = self.single.get(text)  # the longest match is the whole: nothing to walk
+                known = tuple(self._walk(text)) if token is None else (token,)
+            self.known[piece] = known
         return known
 
+    def _word(self, word: str) -> tuple[int, ...] | list[int]:
+        if word.isascii() and word.isalpha():  # one pre-token
+            return self._piece(word.lower())
+        return [x for piece in self.bpe.pieces(word) for x in self._piece(piece)]
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array and the offsets that cut it by text."""
+        split = [self.bpe.words(x) for x in texts]
+        ids, sizes = self.words.ids([w for words in split for w in words])
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        return ids, ends[np.concatenate([[0], np.cumsum([len(x) for x in split], dtype=np.int64)])]
+
     def encode(self, text: str) -> np.ndarray:
-        found = [self.piece(p) for p in self.bpe.pieces(text)]
-        return np.concatenate(found) if found else np.zeros(0, dtype=np.uint32)
+        return self.encode_all([text])[0]
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        if not len(ids):
-            return b""
+    def decode_all(self, ids: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+        """The texts of ids that ``cuts`` divides by text."""
         start = self.offsets[ids]
         size = self.offsets[ids.astype(np.int64) + 1] - start
-        ends = np.cumsum(size)
-        return self.bytes[np.arange(ends[-1]) + np.repeat(start - ends + size, size)].tobytes()[:-1]
+        joined = self.bytes[_places(start, size)].tobytes()
+        ends = np.concatenate([[0], np.cumsum(size)])[cuts].tolist()
+        return [joined[a:max(a, b - 1)] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return self.decode_all(ids, np.array([0, len(ids)]))[0]
 
 
 _CODECS: dict[str, Codec] = {}
@@ -145,8 +225,8 @@ def _encode(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Codec(path)  # for this task only: the worker goes on to other stages, which need the memory
         for batch in slices(batches):
-            ids = [own.encode(x or "") for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))], ["doc_id", "ids"])
+            ids, cuts = own.encode_all([x or "" for x in batch.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids.astype(np.int32)))], ["doc_id", "ids"])
     return run
 
 
@@ -156,8 +236,8 @@ def _decode(path: str) -> Callable:
         for batch in batches:
             ids = batch.column("ids")
             flat, offsets = ids.values.to_numpy(zero_copy_only=False).astype(np.uint32), ids.offsets.to_numpy()
-            lists = [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([own.decode(x).decode() for x in lists], pa.string())], ["doc_id", "text"])
+            found = own.decode_all(flat[offsets[0]:offsets[-1]], offsets - offsets[0])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.decode() for x in found], pa.string())], ["doc_id", "text"])
     return run
 
 
@@ -165,11 +245,12 @@ def _digest(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Codec(path)  # for this task only: the worker goes on to other stages, which need the memory
         for batch in slices(batches):
-            ids = [own.encode(x or "") for x in batch.column("text").to_pylist()]
+            ids, cuts = own.encode_all([x or "" for x in batch.column("text").to_pylist()])
+            stored, bounds = ids.astype("<u4").tobytes(), (4 * cuts).tolist()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()),
-                 pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids], pa.string()),
-                 pa.array([hashlib.sha256(own.decode(x)).hexdigest() for x in ids], pa.string())],
+                [batch.column("doc_id"), pa.array(np.diff(cuts), pa.int64()),
+                 pa.array([hashlib.sha256(stored[a:b]).hexdigest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.string()),
+                 pa.array([hashlib.sha256(x).hexdigest() for x in own.decode_all(ids, cuts)], pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
     return run
 

@@ -19,6 +19,7 @@ WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|\\p{L}+|\\p{N}|[^" + WHITE + "\\p{L}\\p{N}]+"
 END = "</w>"
 N_SYMBOLS = 512
+_SEPARATOR = regex.compile("[\x1c-\x1f]")
 
 
 def _byte_letters() -> list[str]:
@@ -54,6 +55,14 @@ class WordBpe:
         self.names = [name for name, _ in sorted([*vocab.items(), *self.specials.items()], key=lambda x: x[1])]
         self._special = regex.compile("(" + "|".join(regex.escape(x) for x in self.specials) + ")")
         self._piece = regex.compile(PATTERN)
+        self._divides = not any(c.isspace() for x in self.specials for c in x)
+
+    def words(self, text: str) -> list[str]:
+        """``text`` in parts that no pre-token reaches across, in order: their pre-tokens are those of the text. White space
+        divides; the separators U+001C to U+001F are white space to Python and none to the pattern, a text with one stays whole."""
+        if not self._divides or _SEPARATOR.search(text):
+            return [text]
+        return text.split()
 
     def pieces(self, text: str) -> Iterable[str]:
         """Pre-tokens of ``text`` in order; a special token's text comes out as it stands."""

@@ -52,6 +52,18 @@ def test_small_caches_give_the_same_ids(library, monkeypatch):
         assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_texts_together_with_a_small_cache(library, monkeypatch):
+    monkeypatch.setattr(bpe_codec, "KEPT", 40)
+    own, texts = bpe_codec.Codec(PATH), sample()
+    for start in range(0, len(texts), 7):
+        part = texts[start:start + 7]
+        ids, cuts = own.encode_all(part)
+        got = [ids[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        assert got == [library.encode(x, add_special_tokens=False).ids for x in part]
+        assert len(own.words) <= 40 + sum(len(own.bpe.words(x)) for x in part)
+        assert [x.decode() for x in own.decode_all(ids, cuts)] == [library.decode(x, skip_special_tokens=False) for x in got]
+
+
 def test_queries_on_odd_rows(spark, library):
     rows = [(1, "it's a test"), (1, "it's a test"), (None, "null id"), (4, None), (5, ""), (6, "word " * 50_000)]
     docs = spark.createDataFrame([(i, t, 9, "x") for i, t in rows], "doc_id long, text string, n_tokens int, ids string")
