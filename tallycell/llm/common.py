@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -38,14 +40,43 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [b"" if x is None else x for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+_open = threading.local()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared checkpoint folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/tallycell-{name}-{uuid.uuid4().hex}"
+    if scopes := getattr(_open, "scopes", None):
+        scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Remove what ``written`` writes inside the block when it ends. The block gets a function to use in place of ``written`` for what
+    is read after it; nothing else that was made inside may be."""
+    scopes = _open.scopes = getattr(_open, "scopes", [])
+    made: list[str] = []
+    scopes.append(made)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = written(df, name)
+        path = made.pop()
+        if len(scopes) > 1:
+            scopes[-2].append(path)
+        return out
+
+    try:
+        yield keep
+    finally:
+        scopes.pop()
+        for name in made:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def attach(left: DataFrame, right: DataFrame, keys: list[str], spread: list[Column], how: str = "left") -> DataFrame:
     """Join ``left`` to ``right`` (one row per key) where a key may hold a large share of ``left``.
 

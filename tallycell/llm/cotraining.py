@@ -2,14 +2,17 @@
 
 Two views of a document are learnt separately: its text content (which words, and which beginnings of words, occur) and its page
 metadata (language, source, length and layout figures, in steps). Each view has two heads, for low quality and for toxicity of
-documents that aren't of low quality (junk shares no words with prose, which says nothing of toxicity): a log-odds model over the traits whose share differs beyond chance between the two classes. In every round each view scores all
-unlabelled documents, and what it is sure of, by its calibrated score, joins the other view's counts as a pseudo-label.
+documents that aren't of low quality (junk shares no words with prose, which says nothing of toxicity): a log-odds model over the
+traits whose share differs beyond chance between the two classes. Traits are named by the hash of their text, one of SLOTS slots, so
+what is counted, brought to the driver and sent to the tasks is bounded at any size; traits that share a slot share a weight. In every
+round each view scores all unlabelled documents, and what it is sure of, by its calibrated score, joins the other view's counts as a
+pseudo-label.
 At the end both views are calibrated on labelled rows that no training has seen, a logistic model of the two calibrated logits,
 fitted on those rows too, gives each head's probability, and a document is good with probability (1 - low) * (1 - toxic).
 
 Several label rows for a doc_id count by their worst values; rows with a null are left out. Of labelled documents
-training reads about LABELLED at most, drawn by the hash of doc_id; of unlabelled ones all, also those without doc_id. Their traits
-are counted in the tasks that score them, so counts move and no traits of single documents.
+training reads about LABELLED at most, drawn by the hash of doc_id; all other documents, also those without doc_id, count as
+unlabelled. They are read where they lie, and their traits are counted in the tasks that score them: counts move, no texts.
 A head without labels of both classes takes no part; with neither head (no labels, empty tables) every score is 1.
 
 A null text is empty, null metadata are values of their own; doc_id may be null or repeated. Other columns are passed through by
@@ -19,69 +22,130 @@ A null text is empty, null metadata are values of their own; doc_id may be null
 from __future__ import annotations
 
 import math
-from collections import Counter
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallycell.llm.common import slices, written
+from tallycell.llm.common import scratch, slices, written
 
 LABELLED = 20_000
-HELD_COUNTS = 1 << 18  # counts that a task holds before it passes them on
+SLOTS = 1 << 20  # of traits in each view
+KEPT_WORDS = 1 << 18  # words whose slots a task keeps; beyond it starts anew
 ROUNDS, SURE = 2, 0.98
 HELD_OUT = 4  # one in so many labelled documents calibrates
 CHANCE = 5.0  # standard errors that a trait's shares must lie apart
 STEMS = (4, 5, 6)
 HEADS, VIEWS = ("low", "toxic"), ("text", "meta")
 _RANGE = 1 << 20
-_FIELDS = "doc_id long, text array<string>, meta array<string>"
+_FIELDS = "doc_id long, text array<int>, meta array<int>"
 _COLUMNS = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
-
-
-def text_traits(text: str) -> set[str]:
-    """Distinct lower-case words, and their beginnings (marked by a blank)."""
-    found = set(text.lower().split())
-    return found | {w[:n] + " " for w in found for n in STEMS if len(w) > n}
-
-
-def meta_traits(text: str, lang: str | None, source: str | None, n_chars: int | None) -> set[str]:
-    """Language, source, and steps of length and layout."""
-    words, size = text.split(), max(1, len(text))
-    n = max(1, len(words))
-    figures = {"chars": math.log2(1 + (size if n_chars is None else max(0, n_chars))), "lines": math.log2(1 + text.count("\n")),
-               "word": math.log2(size / n) * 2, "symbols": math.log2(1e-3 + sum(map(text.count, "#$%&*|!<>{}[]\\/=+~^@_")) / size),
-               "upper": 8 * sum(w.isupper() for w in words) / n, "same": 16 * sum(a == b for a, b in zip(words, words[1:], strict=False)) / n,
-               "distinct": 8 * len(set(words)) / n}
-    return {f"lang {lang}", f"source {source}", *(f"{k} {math.floor(v)}" for k, v in figures.items())}
+_ARROW = {"text": pa.string(), "lang": pa.string(), "source": pa.string(), "n_chars": pa.int64()}
+
+
+#: Slots of a slice of documents, those of a document together, distinct and ascending; and how many each document has.
+Slots = tuple[np.ndarray, np.ndarray]
+
+_SYMBOLS, _LINES = np.zeros(256, np.int64), np.zeros(256, np.int64)
+_SYMBOLS[list(b"#$%&*|!<>{}[]\\/=+~^@_")] = 1
+_LINES[10] = 1
+
+
+def slot(trait: str) -> int:
+    return xxhash.xxh3_64_intdigest(trait.encode()) % SLOTS
+
+
+def text_traits(word: str) -> list[str]:
+    """The lower-case word and its beginnings, marked by a blank."""
+    low = word.lower()
+    return [low, *(low[:n] + " " for n in STEMS if len(low) > n)]
+
+
+def _distinct(docs: np.ndarray, slots: np.ndarray, n: int) -> Slots:
+    keys = np.unique(docs * SLOTS + slots)
+    return keys % SLOTS, np.bincount(keys // SLOTS, minlength=n)
+
+
+class Traits(dict):
+    """Numbers of words; their slots and whether they are in capitals lie in arrays by number."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.slots, self.upper = array("q"), array("b")
+
+    def __missing__(self, word: str) -> int:
+        found = [slot(t) for t in text_traits(word)]
+        self.slots.extend(found + [-1] * (1 + len(STEMS) - len(found)))
+        self.upper.append(word.isupper())
+        number = self[word] = len(self)
+        return number
+
+    def of(self, batch: pa.RecordBatch) -> dict[str, Slots]:
+        """Both views of the documents of ``batch``: which words occur; language, source, and steps of length and layout."""
+        if len(self) > KEPT_WORDS:
+            self.clear()
+            self.slots, self.upper = array("q"), array("b")
+        texts = [x or "" for x in batch.column("text").to_pylist()]
+        split, n = [x.split() for x in texts], len(texts)
+        words = np.array([len(x) for x in split], np.int64)
+        numbers = np.fromiter((self[w] for x in split for w in x), np.int64, words.sum())
+        docs = np.repeat(np.arange(n), words)
+        pairs = np.unique(docs << 32 | numbers)
+        owners, own = np.repeat(pairs >> 32, 1 + len(STEMS)), np.array(self.slots).reshape(-1, 1 + len(STEMS))[pairs & (1 << 32) - 1].ravel()
+        raw = [x.encode() for x in texts]
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in raw], dtype=np.int64)])
+        joined = np.frombuffer(b"".join(raw), np.uint8)
+        symbols, lines = (np.diff(np.concatenate([[0], np.cumsum(kind[joined])])[ends]) for kind in (_SYMBOLS, _LINES))
+        size, some = np.maximum(1, np.array([len(x) for x in texts], np.int64)), np.maximum(1, words)
+        given = batch.column("n_chars").to_numpy(zero_copy_only=False).astype(float)
+        again = (numbers[1:] == numbers[:-1]) & (docs[1:] == docs[:-1])
+        figures = {"chars": np.log2(1 + np.where(np.isnan(given), size, np.maximum(0, given))), "lines": np.log2(1 + lines),
+                   "word": np.log2(size / some) * 2, "symbols": np.log2(1e-3 + symbols / size),
+                   "upper": 8 * np.bincount(docs, np.array(self.upper, float)[numbers], n) / some,
+                   "same": 16 * np.bincount(docs[1:][again], minlength=n) / some, "distinct": 8 * np.bincount(pairs >> 32, minlength=n) / some}
+        meta = [[slot(f"{k} {x}") for x in batch.column(k).to_pylist()] for k in ("lang", "source")]
+        meta += [[slot(f"{k} {x}") for x in np.floor(v).astype(np.int64).tolist()] for k, v in figures.items()]
+        return {"text": _distinct(owners[own >= 0], own[own >= 0], n), "meta": _distinct(np.tile(np.arange(n), len(meta)), np.array(meta, np.int64).ravel(), n)}
 
 
 @dataclass
 class Head:
-    """Weights of the traits of each view, the calibration (slope, offset) of each view, and the mix of their logits."""
+    """Weights of the traits of each view (slots and their weights), the calibration (slope, offset) of each view, and the mix of
+    their logits."""
 
-    weights: dict[str, dict[str, float]] = field(default_factory=lambda: {v: {} for v in VIEWS})
+    weights: dict[str, tuple[np.ndarray, np.ndarray]] = field(default_factory=lambda: {v: (np.zeros(0, np.int64), np.zeros(0)) for v in VIEWS})
     line: dict[str, tuple[float, float]] = field(default_factory=lambda: {v: (0.0, -60.0) for v in VIEWS})
     mix: tuple[float, float, float] = (0.5, 0.5, 0.0)
 
-    def logit(self, view: str, traits: set[str] | list[str]) -> float:
-        weights, (slope, offset) = self.weights[view], self.line[view]
-        return slope * math.fsum(weights[t] for t in traits if t in weights) + offset
+    def dense(self, view: str) -> np.ndarray:
+        out = np.zeros(SLOTS)
+        out[self.weights[view][0]] = self.weights[view][1]
+        return out
 
-    def probability(self, traits: dict[str, set[str]]) -> float:
-        z = sum(m * self.logit(v, traits[v]) for m, v in zip(self.mix, VIEWS, strict=False)) + self.mix[2]
-        return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
+class Scorer:
+    """A head with its weights by slot."""
 
-Model = dict[str, Head]
+    def __init__(self, head: Head):
+        self.head, self.weights = head, {v: head.dense(v) for v in VIEWS}
 
+    def logits(self, view: str, traits: Slots) -> np.ndarray:
+        slots, sizes = traits
+        slope, offset = self.head.line[view]
+        return slope * np.bincount(np.repeat(np.arange(len(sizes)), sizes), self.weights[view][slots], len(sizes)) + offset
 
-def goodness(model: Model, text: str, lang: str | None, source: str | None, n_chars: int | None) -> float:
-    traits = {"text": text_traits(text), "meta": meta_traits(text, lang, source, n_chars)}
-    return math.prod(1 - head.probability(traits) for head in model.values())
+    def probability(self, traits: dict[str, Slots]) -> np.ndarray:
+        z = sum(m * self.logits(v, traits[v]) for m, v in zip(self.head.mix, VIEWS, strict=False)) + self.head.mix[2]
+        return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+
+
+Model = dict[str, Head]
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -101,14 +165,16 @@ def _plain(docs: DataFrame) -> DataFrame:
     return docs.select(*[F.col(c).cast(t).alias(c) for c, t in _COLUMNS.items()])
 
 
+def _lists(traits: Slots) -> pa.ListArray:
+    slots, sizes = traits
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(slots, pa.int32()))
+
+
 def _traits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = Traits()
     for batch in slices(batches):
-        rows = batch.select(list(_COLUMNS)[1:]).to_pylist()
-        texts = [r["text"] or "" for r in rows]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([sorted(text_traits(t)) for t in texts], pa.list_(pa.string())),
-             pa.array([sorted(meta_traits(t, r["lang"], r["source"], r["n_chars"])) for t, r in zip(texts, rows, strict=True)], pa.list_(pa.string()))],
-            ["doc_id", "text", "meta"])
+        found = known.of(batch)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[_lists(found[v]) for v in VIEWS]], ["doc_id", *VIEWS])
 
 
 def _drawn(rows: DataFrame, size: int, seed: int) -> DataFrame:
@@ -124,24 +190,28 @@ def _marks(labels: DataFrame) -> DataFrame:
     return marked.withColumn("toxic", F.when(F.col("low") == 0, F.col("toxic")))
 
 
-def sample(docs: DataFrame, labels: DataFrame, labelled: int) -> DataFrame:
-    """doc_id, text and meta traits, low, toxic, held (calibration row) of about ``labelled`` documents at most."""
-    known = _drawn(_marks(labels), labelled, 1)
+def drawn(labels: DataFrame, labelled: int) -> DataFrame:
+    """doc_id, low, toxic of about ``labelled`` documents at most."""
+    return written(_drawn(_marks(labels), labelled, 1), "drawn")
+
+
+def sample(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """doc_id, text and meta traits, low, toxic, held (calibration row) of the ``drawn`` documents."""
     # The list is bounded by the size it was drawn for, so it goes to the documents and no text moves.
     found = _plain(docs).join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi").mapInArrow(_traits, _FIELDS)
     return written(found.join(F.broadcast(known), "doc_id").withColumn("held", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(HELD_OUT)) == 0), "sample")
 
 
-def unlabelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents, all of them, that have no complete label."""
-    return written(_plain(docs).join(_marks(labels).select("doc_id"), "doc_id", "left_anti").select(*_COLUMNS), "unlabelled")
+def unlabelled(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """The documents, all of them, that aren't among the ``drawn`` ones."""
+    return _plain(docs).join(F.broadcast(known.select("doc_id")), "doc_id", "left_anti").select(*_COLUMNS)
 
 
 def counts(rows: DataFrame, view: str) -> DataFrame:
     """trait and, per head, the rows of either class that have it; the null trait counts all rows. A row whose label for a head is
     null counts for the others only."""
     sums: list[Column] = [F.sum((F.col(h) == c).cast("long")).alias(f"{h}_{c}") for h in HEADS for c in (0, 1)]
-    traits = rows.select(F.explode(F.concat(F.col(view), F.array(F.lit(None).cast("string")))).alias("trait"), *HEADS)
+    traits = rows.select(F.explode(F.concat(F.col(view), F.array(F.lit(None).cast("int")))).alias("trait"), *HEADS)
     return traits.groupBy("trait").agg(*[F.coalesce(s, F.lit(0)).alias(f"{h}_{c}") for s, (h, c) in zip(sums, [(h, c) for h in HEADS for c in (0, 1)], strict=True)])
 
 
@@ -150,41 +220,35 @@ def pseudo_counts(rows: DataFrame, model: Model) -> DataFrame:
     sent, sure = rows.sparkSession.sparkContext.broadcast(model), math.log(SURE / (1 - SURE))
     names = [f"{h}_{c}" for h in HEADS for c in (0, 1)]
 
-    def table(held: dict[tuple[str, int, int | None], Counter]) -> Iterator[pa.RecordBatch]:
-        for (view, low, toxic), found in held.items():
-            n = np.fromiter(found.values(), np.int64, len(found))
-            is_in = {f"low_{low}", f"toxic_{toxic}"}
-            yield pa.RecordBatch.from_arrays([pa.array([view] * len(found), pa.string()), pa.array(list(found), pa.string()),
-                                              *[pa.array(n if c in is_in else np.zeros_like(n)) for c in names]], ["view", "trait", *names])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, int, int | None], Counter] = {}
+        known, heads = Traits(), {h: Scorer(sent.value[h]) for h in HEADS}
+        held = {v: np.zeros((len(names), SLOTS), np.int32) for v in VIEWS}
+        totals = {v: [0] * len(names) for v in VIEWS}
         for batch in slices(batches):
-            for r in batch.select(list(_COLUMNS)[1:]).to_pylist():
-                text = r["text"] or ""
-                traits = {"text": text_traits(text), "meta": meta_traits(text, r["lang"], r["source"], r["n_chars"])}
-                for v, other in zip(VIEWS, reversed(VIEWS), strict=True):
-                    z = sent.value["low"].logit(other, traits[other])
-                    if abs(z) >= sure:
-                        low, toxic = int(z > 0), None
-                        if not low:
-                            z = sent.value["toxic"].logit(other, traits[other])
-                            toxic = int(z > 0) if abs(z) >= sure else None
-                        own = held.setdefault((v, low, toxic), Counter())
-                        own.update(traits[v])
-                        own[None] += 1
-                if sum(map(len, held.values())) > HELD_COUNTS:
-                    yield from table(held)
-                    held = {}
-        yield from table(held)
+            traits = known.of(batch)
+            for v, other in zip(VIEWS, reversed(VIEWS), strict=True):
+                z = {h: heads[h].logits(other, traits[other]) for h in HEADS}
+                good = z["low"] <= -sure
+                chosen = [good, z["low"] >= sure, good & (z["toxic"] <= -sure), good & (z["toxic"] >= sure)]
+                slots, sizes = traits[v]
+                for i, rows in enumerate(chosen):
+                    totals[v][i] += int(rows.sum())
+                    held[v][i] += np.bincount(slots[np.repeat(rows, sizes)], minlength=SLOTS).astype(np.int32)
+        for v in VIEWS:
+            if any(totals[v]):
+                yield pa.RecordBatch.from_arrays([pa.array([v]), pa.array([None], pa.int32()), *[pa.array([n], pa.int64()) for n in totals[v]]], ["view", "trait", *names])
+            used = np.flatnonzero(held[v].any(axis=0))
+            for i in range(0, len(used), 1 << 16):
+                part = used[i:i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array([v] * len(part), pa.string()), pa.array(part, pa.int32()), *[pa.array(x[part], pa.int64()) for x in held[v]]],
+                                                 ["view", "trait", *names])
 
     kinds = ", ".join(f"{c} long" for c in names)
-    return written(rows.mapInArrow(run, f"view string, trait string, {kinds}").groupBy("view", "trait").agg(*[F.sum(c).alias(c) for c in names]), "pseudo")
+    return written(rows.mapInArrow(run, f"view string, trait int, {kinds}").groupBy("view", "trait").agg(*[F.sum(c).alias(c) for c in names]), "pseudo")
 
 
-def weights(table: DataFrame, total: dict[str, int]) -> dict[str, dict[str, float]]:
-    """Log-odds per head of the traits whose shares differ by more than CHANCE standard errors."""
-    out: dict[str, dict[str, float]] = {h: {} for h in HEADS}
+def weights(table: DataFrame, total: dict[str, int]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Slots and log-odds per head of the traits whose shares differ by more than CHANCE standard errors: SLOTS of them at most."""
     parts = []
     for h in HEADS:
         no, yes = max(1, total[f"{h}_0"]), max(1, total[f"{h}_1"])
@@ -193,9 +257,8 @@ def weights(table: DataFrame, total: dict[str, int]) -> dict[str, dict[str, floa
         apart = F.abs(a / yes - b / no) > CHANCE * F.sqrt(share * (1 - share) * (1 / no + 1 / yes))
         parts.append(table.filter(F.col("trait").isNotNull() & apart)
                      .select(F.lit(h).alias("head"), "trait", (F.log((a + 0.5) / (yes + 1)) - F.log((b + 0.5) / (no + 1))).alias("w")))
-    for r in parts[0].unionByName(parts[1]).toLocalIterator():  # only traits beyond chance
-        out[r.head][r.trait] = r.w
-    return out
+    found = parts[0].unionByName(parts[1]).toPandas()
+    return {h: (own["trait"].to_numpy(np.int64), own["w"].to_numpy(float)) for h in HEADS for own in [found[found["head"] == h].sort_values("trait")]}
 
 
 def _logits(rows: DataFrame, model: Model) -> DataFrame:
@@ -204,9 +267,10 @@ def _logits(rows: DataFrame, model: Model) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads = {h: Scorer(sent.value[h]) for h in HEADS}
         for batch in batches:
-            traits = {v: batch.column(v).to_pylist() for v in VIEWS}
-            made = [pa.array([sent.value[h].logit(v, t) for t in traits[v]], pa.float64()) for h, v in names]
+            traits = {v: (batch.column(v).flatten().to_numpy(), pc.list_value_length(batch.column(v)).to_numpy()) for v in VIEWS}
+            made = [pa.array(heads[h].logits(v, traits[v]), pa.float64()) for h, v in names]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *(f"{h}_{v}" for h, v in names)])
     kinds = ", ".join(f"{h}_{v} double" for h, v in names)
     return rows.mapInArrow(run, f"{_FIELDS}, low int, toxic int, held boolean, {kinds}")
@@ -229,8 +293,13 @@ def _calibrate(held: DataFrame, model: Model) -> None:
 
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> Model:
     """The heads for which there are labels of both classes."""
-    rows = sample(docs, labels, labelled)
-    held, base, rest = rows.filter("held"), rows.filter("NOT held"), unlabelled(docs, labels)
+    with scratch(docs.sparkSession):
+        return _train(docs, drawn(labels, labelled), rounds)
+
+
+def _train(docs: DataFrame, marks: DataFrame, rounds: int) -> Model:
+    rows = sample(docs, marks)
+    held, base, rest = rows.filter("held"), rows.filter("NOT held"), unlabelled(docs, marks)
     known = {v: written(counts(base, v), f"counts-{v}") for v in VIEWS}
     found = held.agg(*[F.count_distinct(h).alias(h) for h in HEADS]).first()
     model: Model = {h: Head() for h in HEADS}
@@ -251,17 +320,15 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds:
     return {h: head for h, head in model.items() if found[h] > 1}
 
 
-def _scores(model: Model, batch: pa.RecordBatch) -> np.ndarray:
-    rows = batch.select(list(_COLUMNS)[1:]).to_pylist()
-    return np.array([goodness(model, r["text"] or "", r["lang"], r["source"], r["n_chars"]) for r in rows], dtype=np.float64)
-
-
 def _each(docs: DataFrame, model: Model, shape: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch]) -> Callable:
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # only traits beyond chance
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS weights to a head and view at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, heads = Traits(), [Scorer(head) for head in sent.value.values()]
         for batch in slices(batches):
-            yield shape(batch, _scores(sent.value, batch))
+            plain = pa.RecordBatch.from_arrays([batch.column(c).cast(t) for c, t in _ARROW.items()], list(_ARROW))
+            traits = known.of(plain)
+            yield shape(batch, math.prod((1 - head.probability(traits) for head in heads), start=np.ones(batch.num_rows)))
     return run
 
 
