@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallycell.llm.common import attach, slices, texts, written
+from tallycell.llm.common import attach, scratch, slices, texts, written
 
 MIN_CHUNK, MEAN_BITS, MAX_CHUNK = 1 << 10, 12, 1 << 14
 _GEAR = np.array([xxhash.xxh32_intdigest(bytes([b])) for b in range(256)], dtype=np.uint32)
@@ -121,10 +121,15 @@ def exact_dedup(docs: DataFrame, identify: Callable[[bytes, int], bytes] = ident
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that stay."""
-    gone = exact_dedup(docs).filter("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    sha = F.sha2(F.regexp_replace(F.coalesce(docs["text"], F.lit("")), "[\\x20\\x09-\\x0D]+", " "), 256)
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_id")) & (sha == F.col("_sha")), "left_anti")
+    """The rows of ``docs``, all columns, that stay. The texts are not moved: short keys of the rows that go are, and of the tables
+    made on the way only these stay."""
+    with scratch(docs.sparkSession) as keep:
+        gone = keep(exact_dedup(docs).filter("not kept").select("doc_id", "text_sha256").distinct(), "copies")
+    sha = F.sha2(F.regexp_replace(F.coalesce(F.col("row.text").cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+", " "), 256)
+    # Each side in one column of its own: no column of ``docs`` can clash.
+    rows, keys = docs.select(F.struct("*").alias("row")), gone.select(F.struct("*").alias("key"))
+    return (rows.join(keys, F.col("row.doc_id").cast("long").eqNullSafe(F.col("key.doc_id")) & (sha == F.col("key.text_sha256")), "left_anti")
+            .select("row.*"))
 
 
 #: DuckDB twin of the registered query.

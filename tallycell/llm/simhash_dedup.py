@@ -34,7 +34,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallycell.llm.common import LOWER, attach, slices, texts, written
+from tallycell.llm.common import attach, LOWER, scratch, slices, texts, written
 from tallycell.llm.components import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -350,5 +350,15 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, width: int =
 
 
 def without_near_copies(docs: DataFrame, similarity: float = SIMILARITY, width: int = WORDS) -> DataFrame:
-    """The rows of ``docs``, all columns: of each group of similar documents the one with the smallest doc_id stays."""
-    return docs.join(similar_groups(docs, similarity, width).select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs``, all columns: of each group of similar documents the one with the smallest doc_id stays (of several such
+    rows, the first as read; rows without doc_id come last). Every row is compared by its own text, also those without doc_id and
+    those that share one. Of the tables made on the way the numbered rows and the numbers of those that go stay."""
+    with scratch(docs.sparkSession) as keep:
+        rows = keep(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("number")), "numbered")
+        groups = similar_groups(rows.select(F.col("number").alias("doc_id"), "row.text"), similarity, width)
+        members = groups.unionByName(groups.select(F.col("group_id").alias("doc_id"), "group_id").distinct())
+        named = (members.withColumnRenamed("doc_id", "number").join(rows.select("number", F.col("row.doc_id").cast("long").alias("doc_id")), "number")
+                 .withColumn("at", F.struct(F.col("doc_id").isNull(), "doc_id", "number")))
+        firsts = named.groupBy("group_id").agg(F.min("at").alias("first"))
+        gone = keep(attach(named, firsts, ["group_id"], ["number"], "inner").filter("number != first.number").select("number"), "near-copies")
+    return rows.join(gone, "number", "left_anti").select("row.*")

@@ -126,7 +126,8 @@ def test_similar_groups(spark):
     got = {r.doc_id: r.group_id for r in simhash_dedup.similar_groups(docs).collect()}
     assert got == {100 + 3 * i + k: i for i in range(20) for k in range(3)}
     left = simhash_dedup.without_near_copies(docs)
-    assert left.columns == docs.columns and left.count() == len(rows) - 60
+    # The 60 near copies, the copy without doc_id and the second row of document 5.
+    assert left.columns == docs.columns and left.count() == len(rows) - 62
 
 
 def test_components_of_long_paths(spark):
@@ -219,6 +220,21 @@ def marked(spark):
     return docs.repartition(4), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
+def test_near_copies_go_by_row_and_not_by_id(spark):
+    """An unrelated row that shares its doc_id with a near copy stays; rows without doc_id are compared too; columns may have any name."""
+    one, two = prose(200), prose(200)
+    rows = [(3, one), (7, one + " more"), (7, prose(200)), (None, two), (None, two + " more"), (None, prose(200)), (8, "")]
+    docs = spark.createDataFrame([(i, t, k, k, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, number int, row int, at int").repartition(3)
+    assert sorted(r.number for r in simhash_dedup.without_near_copies(docs).collect() if r.number not in (3, 4)) == [0, 2, 5, 6]
+    assert len({r.number for r in simhash_dedup.without_near_copies(docs).collect()} & {3, 4}) == 1
+
+
+def test_exact_copies_of_rows_with_any_columns(spark):
+    docs = spark.createDataFrame([(2, "a b", 1, 1), (1, "a  b", 2, 2), (None, "c", 3, 3)], "doc_id long, text string, _id int, _sha int")
+    left = exact_dedup.without_copies(docs)
+    assert left.columns == docs.columns and sorted(r._id for r in left.collect()) == [2, 3]
+
+
 def test_cotraining_on_documents_without_labels(spark, marked):
     docs, labels = marked
     model = cotraining.train(docs, labels)
