@@ -9,11 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallycell.llm import bpe_codec, cotraining, exact_dedup, positional_index, simhash_dedup
-from tallycell.llm.common import table, written
+from tallycell.llm.common import scratch, table, written
 from tallycell.llm.queries import VOCABULARY
 
-ROW = "_decontamination_row"
-
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labels among them, finds good."""
@@ -33,10 +31,12 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item. Every row is judged by its own text, also those without doc_id and those
     that share one: the index names rows by numbers that are written first, so they stay the same."""
-    keyed = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
-    index = positional_index.build_index(keyed.select(F.col(ROW).alias("doc_id"), "text"))
-    dirty = positional_index.contamination(index, table(spark, sf_dir, "benchmark")).filter("contaminated").select(F.col("doc_id").alias(ROW))
-    return keyed.join(dirty, ROW, "left_anti").select(docs.columns)
+    with scratch(spark) as keep:
+        rows = keep(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("number")), "rows")
+        index = positional_index.build_index(rows.select(F.col("number").alias("doc_id"), "row.text"))
+        found = positional_index.contamination(index, table(spark, sf_dir, "benchmark")).filter("contaminated")
+        dirty = keep(found.select(F.col("doc_id").alias("number")), "contaminated")
+    return rows.join(dirty, "number", "left_anti").select("row.*")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
