@@ -25,6 +25,7 @@ import math
 from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from tallycell.llm.common import scratch, slices, written
 
 LABELLED = 20_000
 SLOTS = 1 << 20  # of traits in each view
-KEPT_WORDS = 1 << 18  # words whose slots a task keeps; beyond it starts anew
+KEPT_WORDS = 1 << 19  # words whose slots a task keeps; beyond it starts anew
 ROUNDS, SURE = 2, 0.98
 HELD_OUT = 4  # one in so many labelled documents calibrates
 CHANCE = 5.0  # standard errors that a trait's shares must lie apart
@@ -67,8 +68,14 @@ def text_traits(word: str) -> list[str]:
     return [low, *(low[:n] + " " for n in STEMS if len(low) > n)]
 
 
+def _unique(keys: np.ndarray) -> np.ndarray:
+    """Distinct values in order, by sorting: several times faster on these keys than hashing."""
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
 def _distinct(docs: np.ndarray, slots: np.ndarray, n: int) -> Slots:
-    keys = np.unique(docs * SLOTS + slots)
+    keys = _unique(docs * SLOTS + slots)
     return keys % SLOTS, np.bincount(keys // SLOTS, minlength=n)
 
 
@@ -94,9 +101,9 @@ class Traits(dict):
         texts = [x or "" for x in batch.column("text").to_pylist()]
         split, n = [x.split() for x in texts], len(texts)
         words = np.array([len(x) for x in split], np.int64)
-        numbers = np.fromiter((self[w] for x in split for w in x), np.int64, words.sum())
+        numbers = np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int64, words.sum())
         docs = np.repeat(np.arange(n), words)
-        pairs = np.unique(docs << 32 | numbers)
+        pairs = _unique(docs << 32 | numbers)
         owners, own = np.repeat(pairs >> 32, 1 + len(STEMS)), np.array(self.slots).reshape(-1, 1 + len(STEMS))[pairs & (1 << 32) - 1].ravel()
         raw = [x.encode() for x in texts]
         ends = np.concatenate([[0], np.cumsum([len(x) for x in raw], dtype=np.int64)])
