@@ -60,3 +60,12 @@ def test_cells_without_a_fate_stay(spark):
     edges = spark.createDataFrame([(1, 2, 1.0)], "src long, dst long, weight double")
     got = {(r.cell_id, r.fate, r.p) for r in trajectory.fate_probabilities(edges, cells).collect()}
     assert got == {(1, "b", 1.0), (2, "b", 1.0), (3, None, None), (4, None, None)}
+
+
+def test_counts_and_lognorm_are_made_once(spark):
+    """Passes over the counts read a table; they neither join the lines again nor meet the cell totals again."""
+    from tallycell.plans.standin import Standin
+    d = Standin(spark, "/root/testdata/sf0.001")
+    for df in (d.counts, d.lognorm):
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert d.counts.count() == d.lognorm.count() > 0
