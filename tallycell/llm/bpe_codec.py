@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 from array import array
 from collections.abc import Callable, Iterator
+from weakref import WeakMethod
 
 import ahocorasick
 import numpy as np
@@ -39,13 +40,13 @@ class Words(dict):
 
     def __init__(self, encode: Callable[[str], list[int]]):
         super().__init__()
-        self.encode = encode
+        self.encode = WeakMethod(encode)  # no cycle: a task's tables are gone when it ends, not when cycles are looked for
         self.flat, self.starts = array("I"), array("q", [0])
         self.seen = np.zeros(0, np.int64)
         self.clock = 0
 
     def __missing__(self, word: str) -> int:
-        self.flat.extend(self.encode(word))
+        self.flat.extend(self.encode()(word))
         self.starts.append(len(self.flat))
         number = self[word] = len(self)
         return number
