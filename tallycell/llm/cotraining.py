@@ -22,15 +22,13 @@ A null text is empty, null metadata are values of their own; doc_id may be null
 from __future__ import annotations
 
 import math
-from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from itertools import chain
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +36,7 @@ from tallycell.llm.common import scratch, slices, written
 
 LABELLED = 20_000
 SLOTS = 1 << 20  # of traits in each view
-KEPT_WORDS = 1 << 19  # words whose slots a task keeps; beyond it starts anew
+_SLICE = 1 << 20  # bytes of text whose traits are made at once
 ROUNDS, SURE = 2, 0.98
 HELD_OUT = 4  # one in so many labelled documents calibrates
 CHANCE = 5.0  # standard errors that a trait's shares must lie apart
@@ -58,8 +56,27 @@ _SYMBOLS[list(b"#$%&*|!<>{}[]\\/=+~^@_")] = 1
 _LINES[10] = 1
 
 
+#: A trait's hash is the sum of its characters times powers of an odd number, so sums over a slice give those of all its words at once.
+_FACTOR, _MIX, _MASK = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9), (1 << 64) - 1
+_BLANK = np.uint64(ord(" ") + 1)
+
+
+def _powers(n: int) -> np.ndarray:
+    steps = np.full(n, _FACTOR, np.uint64)
+    steps[:1] = 1
+    return np.cumprod(steps)
+
+
+def _slots(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(32)) * _MIX
+    return ((h ^ h >> np.uint64(29)) % np.uint64(SLOTS)).astype(np.int64)
+
+
 def slot(trait: str) -> int:
-    return xxhash.xxh3_64_intdigest(trait.encode()) % SLOTS
+    h, power = 0, 1
+    for c in trait:
+        h, power = (h + (ord(c) + 1) * power) & _MASK, power * _FACTOR & _MASK
+    return int(_slots(np.array([h], np.uint64))[0])
 
 
 def text_traits(word: str) -> list[str]:
@@ -79,46 +96,75 @@ def _distinct(docs: np.ndarray, slots: np.ndarray, n: int) -> Slots:
     return keys % SLOTS, np.bincount(keys // SLOTS, minlength=n)
 
 
-class Traits(dict):
-    """Numbers of words; their slots and whether they are in capitals lie in arrays by number."""
+@cache
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """By character: whether it divides words, and its case (1 upper, 2 lower or title). The last entry stands for all above it."""
+    chars = [chr(c) for c in range(0x20000)]
+    return np.array([c.isspace() for c in chars] + [False]), np.array([2 if c.islower() or c.istitle() and not c.isupper() else int(c.isupper()) for c in chars] + [0], np.uint8)
+
 
-    def __init__(self) -> None:
-        super().__init__()
-        self.slots, self.upper = array("q"), array("b")
+class Words:
+    """The words of a list of texts: hashes of their first characters, where each begins and ends, and how many each text has."""
 
-    def __missing__(self, word: str) -> int:
-        found = [slot(t) for t in text_traits(word)]
-        self.slots.extend(found + [-1] * (1 + len(STEMS) - len(found)))
-        self.upper.append(word.isupper())
-        number = self[word] = len(self)
-        return number
+    def __init__(self, texts: list[str]):
+        joined = np.frombuffer("\n".join(texts).encode("utf-32-le"), np.uint32)
+        chars = np.minimum(joined, 0x20000)
+        inside = np.concatenate([[False], ~_kinds()[0][chars], [False]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        first, lengths = edges[::2], edges[1::2] - edges[::2]
+        bounds = np.cumsum([0, *(len(x) + 1 for x in texts)])
+        self.number = np.diff(np.searchsorted(first, bounds))
+        self.chars = chars[inside[1:-1]]
+        self.ends = np.cumsum(lengths)
+        self.starts, self.lengths = self.ends - lengths, lengths
+        power = _powers(1 + max(int(lengths.max(initial=0)), *STEMS))
+        values = (joined[inside[1:-1]].astype(np.uint64) + np.uint64(1)) * power[np.arange(len(self.chars)) - np.repeat(self.starts, lengths)]
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
+        self.power = power
 
+    def whole(self) -> np.ndarray:
+        return self.sums[self.ends] - self.sums[self.starts]
+
+    def stems(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The words of more than ``n`` characters and the hashes of their beginnings, marked by a blank."""
+        long = np.flatnonzero(self.lengths > n)
+        start = self.starts[long]
+        return long, self.sums[start + n] - self.sums[start] + _BLANK * self.power[n:n + 1]
+
+    def capitals(self) -> np.ndarray:
+        """Of each word whether it is in capitals, as str.isupper."""
+        return np.maximum.reduceat(_kinds()[1][self.chars], self.starts) == 1 if len(self.starts) else np.zeros(0, bool)
+
+
+class Traits:
     def of(self, batch: pa.RecordBatch) -> dict[str, Slots]:
         """Both views of the documents of ``batch``: which words occur; language, source, and steps of length and layout."""
-        if len(self) > KEPT_WORDS:
-            self.clear()
-            self.slots, self.upper = array("q"), array("b")
         texts = [x or "" for x in batch.column("text").to_pylist()]
-        split, n = [x.split() for x in texts], len(texts)
-        words = np.array([len(x) for x in split], np.int64)
-        numbers = np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int64, words.sum())
+        given, low, n = Words(texts), Words([x.lower() for x in texts]), len(texts)
+        words = given.number
         docs = np.repeat(np.arange(n), words)
-        pairs = _unique(docs << 32 | numbers)
-        owners, own = np.repeat(pairs >> 32, 1 + len(STEMS)), np.array(self.slots).reshape(-1, 1 + len(STEMS))[pairs & (1 << 32) - 1].ravel()
+        found = [(docs, low.whole()), *((docs[long], h) for long, h in map(low.stems, STEMS))]
+        names = given.whole()
+        ends = np.cumsum(words).tolist()
+        several = [len(_unique(names[e - w:e])) for e, w in zip(ends, words.tolist(), strict=True)]
         raw = [x.encode() for x in texts]
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in raw], dtype=np.int64)])
+        cuts = np.concatenate([[0], np.cumsum([len(x) for x in raw], dtype=np.int64)])
         joined = np.frombuffer(b"".join(raw), np.uint8)
-        symbols, lines = (np.diff(np.concatenate([[0], np.cumsum(kind[joined])])[ends]) for kind in (_SYMBOLS, _LINES))
+        symbols, lines = (np.diff(np.concatenate([[0], np.cumsum(kind[joined])])[cuts]) for kind in (_SYMBOLS, _LINES))
         size, some = np.maximum(1, np.array([len(x) for x in texts], np.int64)), np.maximum(1, words)
-        given = batch.column("n_chars").to_numpy(zero_copy_only=False).astype(float)
-        again = (numbers[1:] == numbers[:-1]) & (docs[1:] == docs[:-1])
-        figures = {"chars": np.log2(1 + np.where(np.isnan(given), size, np.maximum(0, given))), "lines": np.log2(1 + lines),
+        chars = batch.column("n_chars").to_numpy(zero_copy_only=False).astype(float)
+        again = (names[1:] == names[:-1]) & (docs[1:] == docs[:-1])
+        figures = {"chars": np.log2(1 + np.where(np.isnan(chars), size, np.maximum(0, chars))), "lines": np.log2(1 + lines),
                    "word": np.log2(size / some) * 2, "symbols": np.log2(1e-3 + symbols / size),
-                   "upper": 8 * np.bincount(docs, np.array(self.upper, float)[numbers], n) / some,
-                   "same": 16 * np.bincount(docs[1:][again], minlength=n) / some, "distinct": 8 * np.bincount(pairs >> 32, minlength=n) / some}
-        meta = [[slot(f"{k} {x}") for x in batch.column(k).to_pylist()] for k in ("lang", "source")]
-        meta += [[slot(f"{k} {x}") for x in np.floor(v).astype(np.int64).tolist()] for k, v in figures.items()]
-        return {"text": _distinct(owners[own >= 0], own[own >= 0], n), "meta": _distinct(np.tile(np.arange(n), len(meta)), np.array(meta, np.int64).ravel(), n)}
+                   "upper": 8 * np.bincount(docs, given.capitals(), n) / some,
+                   "same": 16 * np.bincount(docs[1:][again], minlength=n) / some, "distinct": 8 * np.array(several, np.int64) / some}
+        meta = [[_named(f"{k} {x}") for x in batch.column(k).to_pylist()] for k in ("lang", "source")]
+        meta += [[_named(f"{k} {x}") for x in np.floor(v).astype(np.int64).tolist()] for k, v in figures.items()]
+        return {"text": _distinct(np.concatenate([d for d, _ in found]), _slots(np.concatenate([h for _, h in found])), n),
+                "meta": _distinct(np.tile(np.arange(n), len(meta)), np.array(meta, np.int64).ravel(), n)}
+
+
+_named = lru_cache(1 << 16)(slot)
 
 
 @dataclass
@@ -179,7 +225,7 @@ def _lists(traits: Slots) -> pa.ListArray:
 
 def _traits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = Traits()
-    for batch in slices(batches):
+    for batch in slices(batches, limit=_SLICE):
         found = known.of(batch)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[_lists(found[v]) for v in VIEWS]], ["doc_id", *VIEWS])
 
@@ -231,7 +277,7 @@ def pseudo_counts(rows: DataFrame, model: Model) -> DataFrame:
         known, heads = Traits(), {h: Scorer(sent.value[h]) for h in HEADS}
         held = {v: np.zeros((len(names), SLOTS), np.int32) for v in VIEWS}
         totals = {v: [0] * len(names) for v in VIEWS}
-        for batch in slices(batches):
+        for batch in slices(batches, limit=_SLICE):
             traits = known.of(batch)
             for v, other in zip(VIEWS, reversed(VIEWS), strict=True):
                 z = {h: heads[h].logits(other, traits[other]) for h in HEADS}
@@ -239,6 +285,8 @@ def pseudo_counts(rows: DataFrame, model: Model) -> DataFrame:
                 chosen = [good, z["low"] >= sure, good & (z["toxic"] <= -sure), good & (z["toxic"] >= sure)]
                 slots, sizes = traits[v]
                 for i, rows in enumerate(chosen):
+                    if not rows.any():
+                        continue
                     totals[v][i] += int(rows.sum())
                     held[v][i] += np.bincount(slots[np.repeat(rows, sizes)], minlength=SLOTS).astype(np.int32)
         for v in VIEWS:
@@ -332,7 +380,7 @@ def _each(docs: DataFrame, model: Model, shape: Callable[[pa.RecordBatch, np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, heads = Traits(), [Scorer(head) for head in sent.value.values()]
-        for batch in slices(batches):
+        for batch in slices(batches, limit=_SLICE):
             plain = pa.RecordBatch.from_arrays([batch.column(c).cast(t) for c, t in _ARROW.items()], list(_ARROW))
             traits = known.of(plain)
             yield shape(batch, math.prod((1 - head.probability(traits) for head in heads), start=np.ones(batch.num_rows)))
