@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tallycell.functions.numeric import hypergeometric_upper_tail
 from tallycell.functions.order_stats import adjust_bh, cumulative, top_k
@@ -108,14 +110,25 @@ def observed_enrichment(ranked: DataFrame, gene_sets: DataFrame, keys: Sequence[
 def _distinct_positions(draws: DataFrame, keys: list[str], seed: int) -> DataFrame:
     """``n_hits`` of the places 1..n for every (set, permutation), all sets of places equally likely: for j over the last n_hits
     places, a place up to j is drawn, and j itself is taken where that one is taken already."""
-    def add(taken: Column, j: Column) -> Column:
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            drawn = batch.column("drawn")
+            for i in range(len(drawn)):  # a row at a time: its places are many
+                first = batch.column("first")[i].as_py()
+                taken: dict[int, None] = {}
+                for j, place in enumerate(drawn[i].values.tolist() if drawn[i].is_valid else [], first):
+                    taken[j if place in taken else place] = None
+                own = [pa.repeat(batch.column(c)[i], len(taken)) for c in (*keys, "set_name", "perm")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(list(taken), pa.int64())], [*keys, "set_name", "perm", "pos"])
+
+    def place(j: Column) -> Column:
         text = F.concat_ws(":", F.lit(seed), "set_name", "perm", j)
-        place = F.pmod(F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("bigint"), j) + 1
-        return F.concat(taken, F.array(F.when(F.array_contains(taken, place), j).otherwise(place)))
+        return F.pmod(F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("bigint"), j) + 1
 
-    last = F.sequence(F.col("n") - F.col("n_hits") + 1, F.col("n"))
-    places = F.aggregate(last, F.array().cast("array<bigint>"), add)
-    return draws.select(*keys, "set_name", "perm", F.explode(places).alias("pos"))
+    first = F.col("n") - F.col("n_hits") + 1
+    drawn = draws.select(*keys, "set_name", "perm", first.alias("first"), F.transform(F.sequence(first, F.col("n")), place).alias("drawn"))
+    out = StructType([*[f for f in drawn.schema.fields if f.name in (*keys, "set_name", "perm")], StructField("pos", LongType())])
+    return drawn.mapInArrow(chosen, out)
 
 
 def preranked_enrichment(ranked: DataFrame, gene_sets: DataFrame, n_perm: int = 1000, keys: Sequence[str] = ("label",),

@@ -1,5 +1,7 @@
 """Operators give whole results: no caps, no size-dependent answers."""
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -69,3 +71,15 @@ def test_counts_and_lognorm_are_made_once(spark):
     for df in (d.counts, d.lognorm):
         assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
     assert d.counts.count() == d.lognorm.count() > 0
+
+
+def test_draws_of_large_sets_are_looked_up(spark):
+    """Whether a place is taken is looked up, not searched for among all places drawn so far; the places stay those of the rule."""
+    drawn = spark.createDataFrame([("l", "s", 1, 3000, 4000)], "label string, set_name string, perm int, n_hits long, n long")
+    found = enrich._distinct_positions(drawn, ["label"], 0)
+    assert "array_contains" not in found._jdf.queryExecution().optimizedPlan().toString()
+    taken = set()
+    for j in range(1001, 4001):
+        place = int(hashlib.md5(f"0:s:1:{j}".encode()).hexdigest()[:12], 16) % j + 1
+        taken.add(j if place in taken else place)
+    assert sorted(r.pos for r in found.collect()) == sorted(taken)
