@@ -24,6 +24,7 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from string import ascii_uppercase
 from typing import NamedTuple
 
 import numpy as np
@@ -233,6 +234,13 @@ class Encoder:
         self.library.no_padding()
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         [self.between] = self.library.encode(_BETWEEN, add_special_tokens=False).ids
+        # A word of letters alone is one pre-token, whose last id and no other ends in the suffix.
+        suffix = getattr(self.library.model, "end_of_word_suffix", None)
+        self.ends_word = np.zeros(self.library.get_vocab_size(), bool)
+        if suffix:
+            self.ends_word[[i for w, i in self.library.get_vocab().items() if w.endswith(suffix)]] = True
+        upper = " ".join(ascii_uppercase)
+        self.folds = self.library.encode(upper, add_special_tokens=False).ids == self.library.encode(upper.lower(), add_special_tokens=False).ids
         self._forget()
 
     def _forget(self) -> None:
@@ -257,22 +265,43 @@ class Encoder:
         flat = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(cuts), pa.py_buffer(raw[inside]))
         return flat.dictionary_encode(), np.searchsorted(offsets, starts, side="right") - 1
 
+    def _library(self, joined: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.library.encode_batch_fast(joined, add_special_tokens=False)]
+
+    def _keep(self, new: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        if len(sizes) != len(new):
+            raise ValueError("the pieces came back in another number")
+        first = len(self.cuts) - 1
+        self.known.update(zip(new, range(first, first + len(new)), strict=True))
+        self.cuts = np.concatenate([self.cuts, self.cuts[-1] + np.cumsum(sizes)])
+        self.flat = np.concatenate([self.flat, ids])
+
     def _learn(self, new: list[str], alone: bool) -> None:
         together = [[w] for w in new] if alone else [new[i:i + _TOGETHER] for i in range(0, len(new), _TOGETHER)]
-        joined = [x[0] if alone else f" {_BETWEEN} ".join([*x, ""]) for x in together]
-        found = [np.array(x.ids, np.uint32) for x in self.library.encode_batch_fast(joined, add_special_tokens=False)]
+        found = self._library([x[0] if alone else f" {_BETWEEN} ".join([*x, ""]) for x in together])
+        ids = np.concatenate(found)
         if alone:
-            ids, sizes = np.concatenate(found), np.array([len(x) for x in found])
+            self._keep(new, ids, np.array([len(x) for x in found]))
         else:
-            ids = np.concatenate(found)
             last = ids == self.between
-            ends = np.flatnonzero(last)
-            sizes, ids = np.diff(np.append(-1, ends)) - 1, ids[~last]
-        if len(sizes) != len(new):
-            raise ValueError("the pieces came back in another number")
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        self.cuts = np.concatenate([self.cuts, self.cuts[-1] + np.cumsum(sizes)])
-        self.flat = np.concatenate([self.flat, ids])
+            self._keep(new, ids[~last], np.diff(np.append(-1, np.flatnonzero(last))) - 1)
+
+    def _learn_letters(self, new: list[str]) -> list[str]:
+        """Learns words of letters, which need nothing between them but a space; returns those of which some are more than one pre-token."""
+        together = [new[i:i + _TOGETHER] for i in range(0, len(new), _TOGETHER)]
+        left: list[str] = []
+        learned: list[str] = []
+        parts, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for some, ids in zip(together, self._library([" ".join(x) for x in together]), strict=True):
+            ends = np.flatnonzero(self.ends_word[ids])
+            if len(ends) != len(some):
+                left += some
+                continue
+            learned += some
+            parts.append(ids)
+            sizes.append(np.diff(np.append(-1, ends)))
+        self._keep(learned, np.concatenate(parts), np.concatenate(sizes))
+        return left
 
     def encode(self, column: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows one after the other, each row's with ``end`` behind, and the number of ids of each row."""
@@ -282,10 +311,15 @@ class Encoder:
         if len(self.known) + len(new) > KEPT:
             self._forget()
             new = words
+        # Letter case is nothing to the vocabulary: words of ASCII letters, which no mark composes with, are learned in lower case.
+        folded = {w: w.lower() if self.folds and w.isascii() else w for w in new if w.isalpha()}
+        left = self._learn_letters([w for w in dict.fromkeys(folded.values()) if w not in self.known])
+        new = [w for w in new if w not in folded] + left
         # Pieces between white space don't touch each other, so many of them make one text for the library.
         for some, alone in ([w for w in new if _BETWEEN not in w], False), ([w for w in new if _BETWEEN in w], True):
             if some:
                 self._learn(some, alone)
+        self.known.update([(w, self.known[x]) for w, x in folded.items()])
         at = np.fromiter((self.known[w] for w in words), np.int64, len(words))
         codes = at[pieces.indices.to_numpy()]
         start, size = self.cuts[codes], self.cuts[codes + 1] - self.cuts[codes]

@@ -117,3 +117,12 @@ def test_damage_is_found(spark, tmp_path):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert tf.through_files(docs, PATH).count() == 0
+
+
+def test_words_are_learned_once_whatever_their_case(library):
+    own = tf.Encoder(PATH)
+    for texts in (["Quorbly QUORBLY quorbly, qUORBLY"], ["İstanbul H̱ ẖ Don't <|ENDOFTEXT|> <|endoftext|> ΣΑΣ Ⅷ quorbly"]):
+        ids, lengths = own.encode(pa.array(texts), None)
+        assert ids.tolist() == [i for x in texts for i in library.encode(x, add_special_tokens=False).ids] and lengths.sum() == len(ids)
+        if texts[0].isascii():
+            assert len(own.cuts) - 1 == 2  # the word and the comma
