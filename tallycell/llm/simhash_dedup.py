@@ -14,8 +14,9 @@ of the pairs that differ by an appended or cut block of a fifth. So nothing rest
 distinct shingles the first n - ceil(0.8 n) + 1 in any order common to all documents hold one of every document alike at 0.8; the
 order is by how many documents have a shingle (counted in SKETCH buckets; collisions cost time, not results), then by hash. The
 documents that share such a shingle are compared to the smallest and largest of them, then all pairs that are not yet joined by
-checked links, within the size bounds, in cells of about BLOCK by BLOCK documents, so a common shingle is dealt to many tasks. All
-pairs proposed are compared by their whole shingle sets; none is missed and nothing dissimilar is ever linked.
+checked links, within the size bounds and with enough left in the order from that shingle on, in cells of about BLOCK by BLOCK
+documents, so a common shingle is dealt to many tasks. All pairs proposed are compared by their whole shingle sets; none is missed
+and nothing dissimilar is ever linked.
 
 Nulls: a null or empty text has fingerprint zero. Rows without doc_id take the component of their fingerprint, whose id is the
 smallest doc_id in it that isn't null. Repeated rows are repeated in the result. Columns other than doc_id and text aren't read.
@@ -31,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallycell.llm.common import attach, LOWER, scratch, slices, texts, written
@@ -249,7 +250,8 @@ def _bucket_counts(width: int) -> Callable:
 
 
 def _prefixes(width: int, similarity: float, sent: Broadcast) -> Callable:
-    """shingle, doc_id, size: the rarest shingles of every text, enough of them to meet any text alike."""
+    """shingle, doc_id, size, left: the rarest shingles of every text, enough of them to meet any text alike; ``left`` counts the
+    shingles from this one on in the common order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [np.unique(np.array(shingle_hashes(x, width), dtype=np.uint64)) for x in texts(batch)]
@@ -257,53 +259,65 @@ def _prefixes(width: int, similarity: float, sent: Broadcast) -> Callable:
             firsts = [x[np.lexsort((x, sent.value[(x % SKETCH).astype(np.int64)]))[:len(x) - ceil(similarity * len(x) - 1e-9) + 1]] for x in sets]
             each = np.array([len(x) for x in firsts], dtype=np.int64)
             ids = batch.column("doc_id").to_numpy()
+            place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).view(np.int64)), pa.array(np.repeat(ids, each)),
-                                              pa.array(np.repeat(sizes, each))], ["shingle", "doc_id", "size"])
+                                              pa.array(np.repeat(sizes, each)), pa.array(np.repeat(sizes, each) - place)], ["shingle", "doc_id", "size", "left"])
     return run
 
 
 def shared_prefixes(plain: DataFrame, similarity: float, width: int) -> DataFrame:
-    """shingle, doc_id, size: the rarest shingles of every document that are among those of another one."""
+    """shingle, doc_id, size, left: the rarest shingles of every document that are among those of another one."""
     counted = np.zeros(SKETCH, dtype=np.int64)
-    for r in plain.mapInArrow(_bucket_counts(width), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():
-        counted[r.bucket] = r.n
+    found = plain.mapInArrow(_bucket_counts(width), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counted[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
     sent = plain.sparkSession.sparkContext.broadcast(counted)
-    made = written(plain.mapInArrow(_prefixes(width, similarity, sent), "shingle long, doc_id long, size long"), "prefixes")
+    made = written(plain.mapInArrow(_prefixes(width, similarity, sent), "shingle long, doc_id long, size long, left long"), "prefixes")
     shared = made.groupBy("shingle").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first != last")
-    return written(made.join(shared.select("shingle"), "shingle"), "shared")
+    out = written(made.join(shared.select("shingle"), "shingle"), "shared")
+    sent.destroy()
+    return out
 
 
 def _unjoined(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """members with their group's id and, per shingle whose documents are of several groups, the first and last and the number."""
+    """members with their group's id and, per shingle whose documents are of several groups, the first and last and the number. Members
+    that don't say what they have left count as having all."""
+    members = members if "left" in members.columns else members.withColumn("left", F.col("size"))
     own = (members.join(roots.select(F.col("node").alias("doc_id"), F.col("root").alias("part")), "doc_id", "left")
            .withColumn("part", F.coalesce("part", "doc_id")))
-    row = F.struct("doc_id", "size", "part")
+    row = F.struct("doc_id", "size", "part", "left")
     several = own.groupBy("shingle").agg(F.min(row).alias("first"), F.max(row).alias("last"), F.min("part").alias("low"), F.max("part").alias("high"),
                                          F.count("*").alias("n")).filter("low != high")
     return own.join(several.select("shingle", "first", "last", "n"), "shingle")
 
 
+def _may_be_alike(x: str, y: str, similarity: float) -> Column:
+    """Whether two documents that share a shingle can be alike, were it the first in the common order that they share. Alike ones have
+    similarity / (1 + similarity) of both sizes in common, all of it from their first shared shingle on, so there both must have as
+    many left. Pairs that fail here at a later shared shingle have passed at the first, which is in the prefixes of both."""
+    fits = F.least(f"{x}size", f"{y}size") >= F.lit(similarity) * F.greatest(f"{x}size", f"{y}size") - 1e-9
+    common = F.lit(similarity / (1 + similarity)) * (F.col(f"{x}size") + F.col(f"{y}size")) - 1e-9
+    return fits & (F.least(f"{x}left", f"{y}left") >= common)
+
+
 def _pairs(rows: DataFrame) -> DataFrame:
     return rows.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def star_pairs(members: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     """a, b: every document and the smallest and largest that share a shingle with it, if their sizes allow the similarity."""
-    met = _unjoined(members, roots).select("doc_id", "size", "part", F.explode(F.array("first", "last")).alias("y"))
-    fits = F.least("size", "y.size") >= F.lit(similarity) * F.greatest("size", "y.size") - 1e-9
-    return _pairs(met.filter((F.col("part") != F.col("y.part")) & fits).select(F.col("doc_id").alias("a"), F.col("y.doc_id").alias("b")))
+    met = _unjoined(members, roots).select("doc_id", "size", "part", "left", F.explode(F.array("first", "last")).alias("y"))
+    return _pairs(met.filter((F.col("part") != F.col("y.part")) & _may_be_alike("", "y.", similarity)).select(F.col("doc_id").alias("a"), F.col("y.doc_id").alias("b")))
 
 
 def cell_pairs(members: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """a, b: all documents that share a shingle, are of different groups and have sizes that allow the similarity."""
+    """a, b: all documents that share a shingle, are of different groups and may be alike by their sizes and what they have left there."""
     last = F.ceil(F.col("n") / BLOCK).cast("int") - 1
     dealt = (_unjoined(members, roots).withColumn("own", F.pmod(F.xxhash64("doc_id"), last + 1).cast("int"))
              .withColumn("with", F.explode(F.sequence(F.lit(0), last)))
-             .select("shingle", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "doc_id", "size", "part"))
+             .select("shingle", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "doc_id", "size", "part", "left"))
     x, y = dealt.alias("x"), dealt.alias("y")
-    fits = F.least("x.size", "y.size") >= F.lit(similarity) * F.greatest("x.size", "y.size") - 1e-9
     met = x.join(y, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("shingle", "i", "j")]).filter(
-        (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.part") != F.col("y.part")) & fits
+        (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.part") != F.col("y.part")) & _may_be_alike("x.", "y.", similarity)
         & ((F.col("x.i") == F.col("x.j")) | (F.col("x.own") != F.col("y.own"))))
     return _pairs(met.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")))
 

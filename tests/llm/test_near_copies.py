@@ -80,3 +80,13 @@ def test_no_tree_of_proposals_holds_a_whole_large_shard(monkeypatch):
     rows = pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int64)), pa.array(np.zeros(n, np.int64)), pa.array(np.arange(n) << 12)], ["choice", "shard", "fp"])
     assert sum(x.num_rows for x in simhash_dedup._shard_links(1, simhash_dedup.proposals)(iter([rows]))) > 0
     assert sizes == [simhash_dedup.TREE]
+
+
+def test_pairs_that_meet_too_late_are_not_proposed(spark):
+    """Of 40 documents with 20 shingles each that share only their last prefix shingle none can be alike; the two that share all are."""
+    rows = [(100 * i + k, i, 20, 20 - k) for i in range(40) for k in range(4)] + [(9, i, 20, 16) for i in range(40)]
+    rows += [(9000 + k, i, 20, 20 - k) for i in (50, 51) for k in range(5)]
+    members = spark.createDataFrame(rows, "shingle long, doc_id long, size long, left long")
+    roots = spark.createDataFrame([], "node long, root long")
+    for propose in (simhash_dedup.cell_pairs, simhash_dedup.star_pairs):
+        assert [(r.b, r.a) for r in propose(members, roots, 0.8).collect()] == [(50, 51)]
