@@ -111,41 +111,51 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + inv / 12 - inv ** 3 / 360 + inv ** 5 / 1260 - shift
 
 
+def _products(x: np.ndarray) -> np.ndarray:
+    """Products of all pairs of columns, one row per unit: weighted cross-products of many genes are one matrix product."""
+    return (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)
+
+
 def _irls(y: np.ndarray, x: np.ndarray, offset: np.ndarray, alpha: np.ndarray, rounds: int = 60):
     """Negative-binomial log-link fits with a light ridge for many genes at once.
 
     ``y`` is genes by units; returns coefficients, their covariances and fitted means.
     """
     p = x.shape[1]
-    ridge, a = np.eye(p) * 1e-6, alpha[:, None]
+    ridge, products = np.eye(p) * 1e-6, _products(x)
     beta = np.zeros((len(y), p))
     beta[:, 0] = np.log(np.maximum(y.mean(axis=1), 0.1)) - offset.mean()
 
-    def state(beta):
+    def state(beta, alpha):
         mu = np.maximum(np.exp(np.clip(beta @ x.T + offset, -30, 30)), 1e-6)
-        w = mu / (1 + a * mu)
-        return mu, w, np.einsum("gu,ui,uj->gij", w, x, x) + ridge
+        w = mu / (1 + alpha[:, None] * mu)
+        return mu, w, (w @ products).reshape(-1, p, p) + ridge
 
+    # A gene that has settled takes no part in later rounds, so one that doesn't settle holds up no others.
+    moving = np.arange(len(y))
     for _ in range(rounds):
-        mu, w, xtx = state(beta)
-        z = beta @ x.T + (y - mu) / mu
-        new = np.linalg.solve(xtx, np.einsum("gu,ui->gi", w * z, x)[..., None])[..., 0]
-        done = np.abs(new - beta).max() < 1e-8
-        beta = new
-        if done:
+        old = beta[moving]
+        mu, w, xtx = state(old, alpha[moving])
+        z = old @ x.T + (y[moving] - mu) / mu
+        new = np.linalg.solve(xtx, ((w * z) @ x)[..., None])[..., 0]
+        beta[moving] = new
+        moving = moving[~(np.abs(new - old).max(axis=1) < 1e-8)]
+        if not len(moving):
             break
-    mu, _, xtx = state(beta)
+    mu, _, xtx = state(beta, alpha)
     return beta, np.linalg.inv(xtx), mu
 
 
 def _profile_dispersion(y, x, mu, centre=None, spread=None) -> np.ndarray:
     """Dispersions that maximise the adjusted profile likelihood, on a log grid refined twice."""
+    p, products = x.shape[1], _products(x)
+
     def score(log_a: np.ndarray) -> np.ndarray:
         a = np.exp(log_a)[:, None]
         k = 1 / a
         ll = (_log_gamma(y + k) - _log_gamma(k) - k * np.log1p(a * mu) + y * np.log(a * mu / (1 + a * mu))).sum(axis=1)
         w = mu / (1 + a * mu)
-        ll -= 0.5 * np.linalg.slogdet(np.einsum("gu,ui,uj->gij", w, x, x) + np.eye(x.shape[1]) * 1e-9)[1]
+        ll -= 0.5 * np.linalg.slogdet((w @ products).reshape(-1, p, p) + np.eye(p) * 1e-9)[1]
         return ll if centre is None else ll - (log_a - centre) ** 2 / (2 * spread)
 
     lo, hi = np.full(len(y), np.log(1e-8)), np.full(len(y), np.log(10.0))
@@ -188,18 +198,18 @@ def nb_test(counts: DataFrame, design: Design, factors: DataFrame, arm_a: str,
     """
     units = checkpointed(design.units.join(factors, ["label", "sample"]))
     carried = [*covariates, *([interaction] if interaction else [])]
-    # A sample without counts for a gene is a zero, so units are carried along with each gene.
-    unit_rows = units.groupBy("label").agg(F.collect_list(F.struct(
-        "sample", "arm", "size_factor", *carried)).alias("units"))
+    # A sample without counts for a gene is a zero. Units are one row a label: they are sent to the genes, never genes to a label.
+    unit_rows = checkpointed(units.groupBy("label").agg(F.collect_list(F.struct(
+        "sample", "arm", "size_factor", *carried)).alias("units")))
+    designs = {r["label"]: r["design"] for r in unit_rows.select("label", F.to_json("units").alias("design")).collect()}
     cells = counts.join(design.genes, ["label", "gene_id"], "left_semi").join(
         units.select("label", "sample"), ["label", "sample"], "left_semi")
     per_gene = (cells.groupBy("label", "gene_id").agg(F.map_from_entries(F.collect_list(F.struct("sample", "count"))).alias("n"))
-                .join(unit_rows, "label"))
+                .join(F.broadcast(unit_rows), "label"))
     y = F.transform("units", lambda u: F.coalesce(F.element_at("n", u["sample"]), F.lit(0)).cast("double"))
     kind = dict(counts.dtypes)["gene_id"]
     tasks = counts.sparkSession.sparkContext.defaultParallelism * 4
-    ready = per_gene.select("label", "gene_id", y.alias("y"), F.to_json("units").alias("design")).repartition(
-        tasks, "label", "gene_id")
+    ready = per_gene.select("label", "gene_id", y.alias("y")).repartition(tasks, "label", "gene_id")
 
     def frame_of(text: str):
         f = pd.DataFrame(json.loads(text))
@@ -210,8 +220,8 @@ def nb_test(counts: DataFrame, design: Design, factors: DataFrame, arm_a: str,
     def fits(batches, final: bool):
         """Fit all genes of a batch that share a design together."""
         for pdf in batches:
-            for text, part in pdf.groupby("design", sort=False):
-                x, off, tested = frame_of(text)
+            for label, part in pdf.groupby("label", sort=False):
+                x, off, tested = frame_of(designs[label])
                 v = np.vstack(part["y"].to_numpy()).astype(float)
                 norm = v / np.exp(off)
                 base = norm.mean(axis=1)
@@ -219,7 +229,7 @@ def nb_test(counts: DataFrame, design: Design, factors: DataFrame, arm_a: str,
                     rough = (norm.var(axis=1, ddof=1) - base) / np.maximum(base * base, 1e-12)
                     _, _, mu = _irls(v, x, off, np.clip(rough, 1e-8, 10.0))
                     yield part.assign(base_mean=base, disp=_profile_dispersion(v, x, mu))[
-                        ["label", "gene_id", "y", "design", "base_mean", "disp"]]
+                        ["label", "gene_id", "y", "base_mean", "disp"]]
                     continue
                 disp, wide = part["disp"].to_numpy(), np.maximum(part["spread"].to_numpy(), 0.25)
                 target = np.log(part["a1"].to_numpy() / np.maximum(base, 1e-12) + part["a0"].to_numpy())
@@ -233,7 +243,7 @@ def nb_test(counts: DataFrame, design: Design, factors: DataFrame, arm_a: str,
                                         "coefficient": name, "base_mean": base, "lfc": lfc, "lfc_se": se, "stat": lfc / se})
 
     first = ready.mapInPandas(lambda b: fits(b, False),
-                              f"label string, gene_id {kind}, y array<double>, design string, base_mean double, disp double")
+                              f"label string, gene_id {kind}, y array<double>, base_mean double, disp double")
     first = checkpointed(first)
     inv = 1.0 / F.greatest("base_mean", F.lit(1e-12))
     ok = first.where((F.col("disp") > 1e-7) & (F.col("disp") < 9.9))
@@ -243,11 +253,11 @@ def nb_test(counts: DataFrame, design: Design, factors: DataFrame, arm_a: str,
     mean_inv = ok.groupBy("label").agg(F.avg(inv).alias("mi"))
     trend = trend.join(mean_inv, "label").select(
         "label", "a1", F.greatest(F.lit(1e-4), F.col("ad") - F.col("a1") * F.col("mi")).alias("a0"))
-    resid = ok.join(trend, "label").select(
+    resid = ok.join(F.broadcast(trend), "label").select(
         "label", (F.log("disp") - F.log(F.col("a1") / F.greatest("base_mean", F.lit(1e-12)) + F.col("a0"))).alias("r"))
     dev = quantiles(resid.withColumn("r", F.abs("r")), ["label"], {"r": [0.5]}).select(
         "label", F.pow(F.col("r_q50") * 1.4826, F.lit(2.0)).alias("spread"))
-    second = first.join(trend, "label").join(dev, "label").mapInPandas(
+    second = first.join(F.broadcast(trend), "label").join(F.broadcast(dev), "label").mapInPandas(
         lambda b: fits(b, True), f"label string, gene_id {kind}, coefficient string, base_mean double, lfc double, "
                               "lfc_se double, stat double")
     second = checkpointed(second)

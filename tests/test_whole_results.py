@@ -83,3 +83,34 @@ def test_draws_of_large_sets_are_looked_up(spark):
         place = int(hashlib.md5(f"0:s:1:{j}".encode()).hexdigest()[:12], 16) % j + 1
         taken.add(j if place in taken else place)
     assert sorted(r.pos for r in found.collect()) == sorted(taken)
+
+
+def test_a_gene_that_does_not_settle_holds_up_no_others(monkeypatch):
+    from tallycell.operators import de
+    rng = np.random.default_rng(0)
+    x = np.column_stack([np.ones(8), np.repeat([0.0, 1.0], 4)])
+    y = rng.poisson(20, (500, 8)).astype(float)
+    y[0] = [1, 0, 0, 0, 0, 0, 0, 0]
+    solved, solve = [], np.linalg.solve
+    monkeypatch.setattr(np.linalg, "solve", lambda a, b: solved.append(len(a)) or solve(a, b))
+    both = de._irls(y, x, np.zeros(8), np.full(500, .1))
+    assert sum(solved) < 500 * 12
+    for i in (0, 7):
+        one = de._irls(y[i:i + 1], x, np.zeros(8), np.full(1, .1))
+        assert all(np.allclose(a[i], b[0], rtol=1e-6, atol=1e-7) for a, b in zip(both, one))
+
+
+def test_genes_are_not_gathered_by_label(spark, monkeypatch):
+    from tallycell.operators import de
+    rng = np.random.default_rng(1)
+    units = spark.createDataFrame([("all", f"s{i}", "ab"[i % 2]) for i in range(6)], "label string, sample string, arm string")
+    counts = spark.createDataFrame([("all", f"s{i}", g, int(rng.poisson(9)) + 1) for g in range(60) for i in range(6)], "label string, sample string, gene_id long, count long")
+    factors = units.select("label", "sample", F.lit(1.0).alias("size_factor"))
+    seen, keep = [], de.checkpointed
+    monkeypatch.setattr(de, "checkpointed", lambda df: (seen.append((df.columns, df._jdf.queryExecution().optimizedPlan().toString())), keep(df))[1])
+    got = de.nb_test(counts, de.Design(units, counts.select("label", "gene_id").distinct(), units), factors, "a").collect()
+    assert len(got) == 60
+    first, second = [s for s in seen if "base_mean" in s[0]]
+    assert "design" not in first[0]
+    for _, plan in (first, second):
+        assert "strategy=broadcast" in plan
