@@ -114,3 +114,11 @@ def test_genes_are_not_gathered_by_label(spark, monkeypatch):
     assert "design" not in first[0]
     for _, plan in (first, second):
         assert "strategy=broadcast" in plan
+
+
+def test_genes_of_equal_totals_meet_the_cell_totals_once(spark, monkeypatch):
+    met = []
+    monkeypatch.setattr(normalize, "checkpointed", lambda df: met.append(df.count()) or df if "z1" in df.columns else df)
+    counts = spark.createDataFrame([(c, g, 1 + c) for g in range(40) for c in range(3)], "cell_id long, gene_id long, count long")
+    got = normalize.hvg_by_pearson_residuals(counts, normalize.cell_number(spark.range(3)), 40).collect()
+    assert len(got) == 40 and met == [1]
