@@ -85,6 +85,14 @@ def test_draws_of_large_sets_are_looked_up(spark):
     assert sorted(r.pos for r in found.collect()) == sorted(taken)
 
 
+def test_genes_of_equal_totals_meet_the_cell_totals_once(spark, monkeypatch):
+    met = []
+    monkeypatch.setattr(normalize, "checkpointed", lambda df: met.append(df.count()) or df if "z1" in df.columns else df)
+    counts = spark.createDataFrame([(c, g, 1 + c) for g in range(40) for c in range(3)], "cell_id long, gene_id long, count long")
+    got = normalize.hvg_by_pearson_residuals(counts, normalize.cell_number(spark.range(3)), 40).collect()
+    assert len(got) == 40 and met == [1]
+
+
 def test_a_gene_that_does_not_settle_holds_up_no_others(monkeypatch):
     from tallycell.operators import de
     rng = np.random.default_rng(0)
@@ -116,9 +124,8 @@ def test_genes_are_not_gathered_by_label(spark, monkeypatch):
         assert "strategy=broadcast" in plan
 
 
-def test_genes_of_equal_totals_meet_the_cell_totals_once(spark, monkeypatch):
-    met = []
-    monkeypatch.setattr(normalize, "checkpointed", lambda df: met.append(df.count()) or df if "z1" in df.columns else df)
-    counts = spark.createDataFrame([(c, g, 1 + c) for g in range(40) for c in range(3)], "cell_id long, gene_id long, count long")
-    got = normalize.hvg_by_pearson_residuals(counts, normalize.cell_number(spark.range(3)), 40).collect()
-    assert len(got) == 40 and met == [1]
+def test_tasks_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(order_stats, "TASK_ROWS", 100)
+    df = spark.range(5000).withColumn("g", F.col("id") % 700)
+    parts = order_stats.dealt(df, "g").groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.count_distinct("g").alias("g")).collect()
+    assert len(parts) > 30 and max(r.n for r in parts) < 500 and sum(r.g for r in parts) == 700
