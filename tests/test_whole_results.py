@@ -124,6 +124,23 @@ def test_genes_are_not_gathered_by_label(spark, monkeypatch):
         assert "strategy=broadcast" in plan
 
 
+def test_group_means_without_scores_of_cells(spark):
+    from tallycell.operators import score
+    rng = np.random.default_rng(3)
+    values = spark.createDataFrame([(c, g, float(rng.random())) for c in range(30) for g in range(12) if rng.random() < .5], "cell_id long, gene_id long, x double")
+    obs = spark.createDataFrame([(c, "uv"[c % 2]) for c in range(32)], "cell_id long, label string")
+    w = spark.createDataFrame([("s", g, .25 if g < 4 else -.125) for g in range(12)] + [("t", 1, 1.0)], "set_name string, gene_id long, w double")
+    scores = score.module_scores(values, w, True)
+    def rows(df):
+        return {(r.label, r.set_name): (r.n_cells, round(r.mean_score, 9)) for r in df.collect()}
+    assert rows(score.group_means_of_sums(score.gene_sums(values, obs, "label"), obs, w, "label")) == rows(score.group_means(scores, obs, w, "label"))
+    full = score.every_cell(scores.drop("n_det"), obs, w).collect()
+    assert len(full) == 64 and {r.score for r in full if r.cell_id > 29} == {0.0}
+    det = {(r.cell_id, r.set_name): r.n_det for r in scores.collect()}
+    want = {(r.cell_id, "s"): 0 for r in values.collect()} | {(r.cell_id, "s"): r.n for r in values.where("gene_id < 4").groupBy("cell_id").agg(F.count("*").alias("n")).collect()}
+    assert {k: v for k, v in det.items() if k[1] == "s"} == want
+
+
 def test_tasks_follow_the_rows(spark, monkeypatch):
     monkeypatch.setattr(order_stats, "TASK_ROWS", 100)
     df = spark.range(5000).withColumn("g", F.col("id") % 700)
