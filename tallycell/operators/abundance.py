@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,8 +99,7 @@ def neighbourhoods(edges: DataFrame, embedding: DataFrame, prop: float = 0.1, se
     drawn = embedding.orderBy(hash_order(seed, "cell_id"), "cell_id").limit(n_draw).select(F.col("cell_id").alias("src"))
     v = embedding.select(F.col("cell_id").alias("dst"), F.col("v").cast("array<double>").alias("v"))
     members = checkpointed(graph.join(drawn, "src", "left_semi").join(v, "dst"))
-    centre = (members.select("src", F.posexplode("v").alias("i", "x")).groupBy("src", "i").agg(F.avg("x").alias("x"))
-              .groupBy("src").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("c")))
+    centre = members.groupBy("src").agg(vector_to_array(Summarizer.mean(array_to_vector("v"))).alias("c"))
     gap = F.aggregate(F.zip_with("v", "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
     snapped = members.join(centre, "src").groupBy("src").agg(
         F.min_by("dst", F.struct(F.round(gap, 9), F.col("dst"))).alias("nhood"))

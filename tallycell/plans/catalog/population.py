@@ -109,19 +109,20 @@ def _(d):
     return six(abundance.neighbourhood_labels(nhoods(d), d.embedding))
 
 
-def nhood_test(d):
-    counts = abundance.neighbourhood_counts(nhoods(d), d.embedding)
+def nhood_test(d, members):
+    counts = abundance.neighbourhood_counts(members, d.embedding)
     return abundance.neighbourhood_test(checkpointed(counts), d.embedding.select("sample", "condition").distinct(), "condition", "A")
 
 
 @query("abundance_neighbourhood_test")
 def _(d):
-    return six(nhood_test(d))
+    return six(nhood_test(d, nhoods(d)))
 
 
 @query("abundance_neighbourhood_summary")
 def _(d):
-    return six(abundance.neighbourhood_summary(checkpointed(nhood_test(d)), abundance.neighbourhood_labels(nhoods(d), d.embedding)))
+    members = nhoods(d)  # the neighbour join, which is most of the work, is made once
+    return six(abundance.neighbourhood_summary(checkpointed(nhood_test(d, members)), abundance.neighbourhood_labels(members, d.embedding)))
 
 
 @query("abundance_spatial_fdr", sql(
