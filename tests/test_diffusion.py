@@ -54,3 +54,22 @@ def test_few_cells_and_no_edges(spark):
     assert len(diffusion.components(edges, 15).values) == 3
     with pytest.raises(ValueError):
         diffusion.components(edges.limit(0))
+
+
+def test_parts_give_the_same_components(line, monkeypatch):
+    _, edges = line
+    monkeypatch.setattr(diffusion, "PART", 40)
+    packed, parts = diffusion._packed, []
+    monkeypatch.setattr(diffusion, "_packed", lambda *a: (parts.append(1), packed(*a))[1])
+    test_components_equal_a_dense_solver(line)
+    assert parts
+
+
+def test_a_polynomial_is_one_job(line, monkeypatch):
+    """Blocks are written twice a round, however many products a polynomial has."""
+    _, edges = line
+    written, made = [], diffusion.checkpointed
+    monkeypatch.setattr(diffusion, "checkpointed", lambda df: (written.append(df), made(df))[1])
+    with pytest.raises(ValueError):
+        diffusion.components(edges, n=6, tol=0.0, degree=6, rounds=2)
+    assert len(written) <= 10
